@@ -171,14 +171,14 @@ WITH known(license, text) AS (VALUES {values}),
 digests AS (SELECT DISTINCT license, c FROM (SELECT license, {canon('text')} AS c FROM known) WHERE c <> ''),
 docs AS (SELECT row_number() OVER () AS rn, doc_id, text FROM documents),
 units AS (
-  SELECT rn, 0 AS kind, 0 AS at, text AS u FROM docs
-  UNION ALL SELECT rn, 1, at, u FROM (SELECT rn, unnest(regexp_split_to_array(text, '\\n[ \\t\\r]*\\n')) AS u, generate_subscripts(regexp_split_to_array(text, '\\n[ \\t\\r]*\\n'), 1) AS at FROM docs WHERE regexp_matches(text, '\\n[ \\t\\r]*\\n'))
-  UNION ALL SELECT rn, 2, at, u FROM (SELECT rn, unnest(string_split(text, chr(10))) AS u, generate_subscripts(string_split(text, chr(10)), 1) AS at FROM docs WHERE contains(text, chr(10)))
+  SELECT rn, 0 AS kind, 0 AS pos, text AS u FROM docs
+  UNION ALL SELECT rn, 1, pos, u FROM (SELECT rn, unnest(regexp_split_to_array(text, '\\n[ \\t\\r]*\\n')) AS u, generate_subscripts(regexp_split_to_array(text, '\\n[ \\t\\r]*\\n'), 1) AS pos FROM docs WHERE regexp_matches(text, '\\n[ \\t\\r]*\\n'))
+  UNION ALL SELECT rn, 2, pos, u FROM (SELECT rn, unnest(string_split(text, chr(10))) AS u, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM docs WHERE contains(text, chr(10)))
 ),
-found AS (SELECT rn, kind, at, license FROM (SELECT rn, kind, at, {canon('u')} AS c FROM units) JOIN digests USING (c)),
+found AS (SELECT rn, kind, pos, license FROM (SELECT rn, kind, pos, {canon('u')} AS c FROM units) JOIN digests USING (c)),
 per AS (
   SELECT rn, coalesce(string_agg(DISTINCT CASE WHEN kind = 0 THEN license END, ',' ORDER BY CASE WHEN kind = 0 THEN license END), '') AS whole,
-         string_agg(DISTINCT license, ',' ORDER BY license) AS licenses, count(DISTINCT kind::VARCHAR || ':' || at::VARCHAR) AS n_notices
+         string_agg(DISTINCT license, ',' ORDER BY license) AS licenses, count(DISTINCT kind::VARCHAR || ':' || pos::VARCHAR) AS n_notices
   FROM found GROUP BY rn
 )
 SELECT doc_id, coalesce(whole, '') AS whole, coalesce(licenses, '') AS licenses, coalesce(n_notices, 0) AS n_notices FROM docs LEFT JOIN per USING (rn)
