@@ -230,7 +230,7 @@ def plain_top(rows, k, every):
     for u, i, q in ok:
         if i is not None and i % every == 0:
             found = sorted((-sum(a * b for a, b in zip(q, c)), 2**62 if j is None else j) for w, j, c in ok if w != u and len(c) == len(q))[:k]
-            out += [(i, r, None if j == 2**62 else j, -s) for r, (s, j) in enumerate(found, 1)]
+            out += [(i, r, None if j == 2**62 else j, max(-(2**63), min(2**63 - 1, -s))) for r, (s, j) in enumerate(found, 1)]
     return Counter(out)
 
 
