@@ -28,7 +28,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_slices, text_frame, written
@@ -119,6 +119,11 @@ def _tokens(column, coords: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, coords)
 
 
+def _short(tokens: np.ndarray) -> np.ndarray:
+    """One byte of each token, to compare by: two different ones are equal in 1 of 256 cases."""
+    return (tokens & np.uint32(255)).astype(np.uint8)
+
+
 def _union(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Smallest member of each member's component."""
     root = np.arange(n)
@@ -136,24 +141,26 @@ def _union(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, n: int, coords: int, seed: int) -> DataFrame:
-    """doc_id, tx (hash of the text), h (hash of the n-gram set, null if it is empty), n_grams, tokens."""
+    """doc_id, tx (hash of the text), h (hash of the n-gram set, null if it is empty), n_grams, tokens, short (a byte of each)."""
 
     def make():
         grams_of = Shingles(n)
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            h, sizes, tokens = [], [], []
+            h, sizes, tokens, short = [], [], [], []
             for text in batch.column(1).to_pylist():
                 grams = grams_of(text)
                 sizes.append(grams.size)
                 h.append(xxhash.xxh3_64_intdigest(grams.tobytes()) - 2**63 if grams.size else None)
-                tokens.append(min_hashes(grams, coords, seed).tobytes() if grams.size else None)
-            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(h, pa.int64()), pa.array(sizes, pa.int64()), pa.array(tokens, pa.binary())], ["doc_id", "tx", "h", "n_grams", "tokens"])
+                low = min_hashes(grams, coords, seed) if grams.size else None
+                tokens.append(None if low is None else low.tobytes())
+                short.append(None if low is None else _short(low).tobytes())
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(h, pa.int64()), pa.array(sizes, pa.int64()), pa.array(tokens, pa.binary()), pa.array(short, pa.binary())], ["doc_id", "tx", "h", "n_grams", "tokens", "short"])
 
         return each
 
     rows = text_frame(docs).withColumn("tx", F.xxhash64("text"))
-    return map_slices(rows, make, "doc_id long, tx long, h long, n_grams long, tokens binary")
+    return map_slices(rows, make, "doc_id long, tx long, h long, n_grams long, tokens binary, short binary")
 
 
 def _grouped(frame: DataFrame, key: str, fn, schema: str, rows_a_task: int = 20_000) -> DataFrame:
@@ -197,7 +204,8 @@ def candidate_edges(classes: DataFrame, runs: int, coords: int, fan: float, limi
 
     def compare():
         def each(table: pa.Table) -> pa.Table:
-            h, sizes, tokens = table.column("h").to_numpy(), table.column("n_grams").to_numpy(), _tokens(table.column("tokens"), coords)
+            h, sizes = table.column("h").to_numpy(), table.column("n_grams").to_numpy()
+            tokens = np.frombuffer(b"".join(table.column("short").to_pylist()), np.uint8).reshape(-1, coords)
             order = np.argsort(h)
             h, sizes, tokens = h[order], sizes[order], tokens[order]
             same = np.zeros((len(h), len(h)), np.int16)
@@ -211,26 +219,30 @@ def candidate_edges(classes: DataFrame, runs: int, coords: int, fan: float, limi
 
         return each
 
-    members = map_slices(classes.select("h", "tokens"), start, "h long, path long", 4096).distinct()
+    members = map_slices(classes.select("h", "tokens"), start, "h long, path long", 4096)
     edges = None
     for level in range(1, depth + 1):
         members = written(members)
         counts = written(members.groupBy("path").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"))
         members = members.join(counts, "path")
-        leaves = members.filter(F.col("size") <= limit).join(classes.select("h", "n_grams", "tokens"), "h").select("path", "h", "n_grams", "tokens")
+        leaves = members.filter(F.col("size") <= limit).join(classes.select("h", "n_grams", "short"), "h").select("path", "h", "n_grams", "short")
         found = _grouped(leaves, "path", compare, "a long, b long")
         edges = found if edges is None else edges.unionByName(found)
         if counts.filter(F.col("size") > limit).isEmpty():
             return edges
         large = members.filter(F.col("size") > limit)
         if level < depth:
-            members = map_slices(large.join(classes.select("h", "tokens"), "h").select("h", "tokens", "path"), deeper, "h long, path long", 4096).distinct()
+            members = map_slices(large.join(classes.select("h", "tokens"), "h").select("h", "tokens", "path"), deeper, "h long, path long", 4096)
     first = written(large.groupBy("path").agg(F.min("h").alias("b")))  # still large: one component as a whole
     return edges.unionByName(written(large.select("path", F.col("h").alias("a"))).join(first, "path").filter("a <> b").select("a", "b"))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, comp (the smallest node of the component) for the nodes of edges (a, b): least labels with pointer jumping."""
+    # a class that met several others: they are tied to the least of them, and so to each other, which leaves few distinct edges
+    least = F.min("b").over(Window.partitionBy("a"))
+    edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).select("a", "b", least.alias("m"))
+    edges = edges.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").filter("a <> b").distinct()
     both = written(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp")))
     while True:
@@ -254,7 +266,7 @@ def jaccard_join(docs: DataFrame, n: int = 5, similarity: float = 0.8, recall: f
     classes = rows.filter("h IS NOT NULL").groupBy("h").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("copies"), F.max("n_grams").alias("n_grams"))
     classes = written(classes.select("h", "first", "copies", "n_grams"))
     firsts = classes.select("h", F.col("first.doc_id").alias("doc_id"), F.col("first.tx").alias("tx"))
-    tokens = written(rows.filter("h IS NOT NULL").select("h", "n_grams", "tokens").dropDuplicates(["h"]))
+    tokens = written(rows.filter("h IS NOT NULL").select("h", "n_grams", "tokens", "short").dropDuplicates(["h"]))
     runs = runs_for(recall, similarity, coords, fan, seed)
     spread = max(0.05, 6 * (similarity * (1 - similarity) / coords) ** 0.5)
     alike = max(1, int(coords * (similarity - spread)))
@@ -270,7 +282,7 @@ def jaccard_join(docs: DataFrame, n: int = 5, similarity: float = 0.8, recall: f
     tiles = tiles.select("doc_id", "tx", "h", "copies", "block", "other", "blocks", F.xxhash64("comp", F.least("block", "other"), F.greatest("block", "other")).alias("tile"))
     texts = docs.withColumn("tx", F.xxhash64("text")).alias("d")
     wanted = held.select("doc_id", "tx", "h").alias("w")
-    texts = texts.join(wanted, F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.tx") == F.col("w.tx"))).select("w.h", "d.text")
+    texts = texts.join(wanted.hint("merge"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.tx") == F.col("w.tx"))).select("w.h", "d.text")
     tiles = texts.join(tiles.drop("doc_id", "tx"), "h").select("tile", "h", "copies", "block", "other", "text")
 
     def check():
