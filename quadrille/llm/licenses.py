@@ -1,8 +1,9 @@
 """Licence scans by canonical digests, in DataFrame functions alone.
 
-Texts are brought to a canonical form (case, punctuation, copyright lines, equivalent spellings) and
+Copyright lines are taken out, texts are brought to a canonical form (case, punctuation, equivalent spellings) and
 hashed; the digests of known licences, made in the same way, are hash-joined to them. What is looked up
 is always an entire text: the whole document, each of its paragraphs (between empty lines) and each of its lines.
+Texts whose first two words begin no known licence are left out before their digest is made, by a hash join too.
 
 Defined results: null and empty texts match nothing; a text that is nothing but copyright lines has an empty
 canonical form and matches nothing; equal canonical forms of several known licences all match; known rows whose id
@@ -56,9 +57,11 @@ SPELLINGS = [
     ("whilst", "while"),
     ("wilful", "willful"),
 ]
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A line that states a copyright, or that all rights are reserved; it ends with the line.
-COPYRIGHT = r"(^|\n)[^0-9a-z\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
+#: A line that states a copyright, or that all rights are reserved, with the line break before it.
+COPYRIGHT = r"(^|\n)[^0-9a-zA-Z\n]*([cC][oO][pP][yY][rR][iI][gG][hH][tT]|\([cC]\)|©|[aA][lL][lL] [rR][iI][gG][hH][tT][sS] [rR][eE][sS][eE][rR][vV][eE][dD])[^\n]*"
+#: Characters between words, and the first two words of a text (the second may be missing).
+BETWEEN = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F©“”‘’–—…«»"
+HEAD = rf"^[{BETWEEN}]*+([^{BETWEEN}]++)[{BETWEEN}]*+([^{BETWEEN}]*+)"
 #: Digests of known licences are broadcast up to so many rows; a longer list is joined by a shuffle.
 BROADCAST_ROWS = 100_000
 
@@ -103,18 +106,25 @@ KNOWN = [
 ]
 
 
+def without_copyright(text: Column) -> Column:
+    return F.regexp_replace(text, COPYRIGHT, "")
+
+
 def canonical(text: Column) -> Column:
-    """Lower case, no copyright lines, words of letters and digits with one space between, one spelling each."""
-    text = F.translate(text, UPPER + "\r", LOWER + "\n")
-    text = F.regexp_replace(text, COPYRIGHT, "$1")
-    text = F.concat(F.lit(" "), F.regexp_replace(text, r"[\x00-\x2F\x3A-\x60\x7B-\x7F©“”‘’–—…«»]+", "  "), F.lit(" "))
+    """Lower case, words of letters and digits with one space between, one spelling each."""
+    text = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), f"[{BETWEEN}]+", "  "), F.lit(" "))
     text = reduce(lambda t, pair: F.replace(t, F.lit(f" {pair[0]} "), F.lit(f" {pair[1]} ")), SPELLINGS, text)
     return F.trim(F.regexp_replace(text, " +", " "))
 
 
 def digest(text: Column) -> Column:
-    """Hex SHA-256 of the canonical form; null where that is empty."""
-    return F.sha2(F.nullif(canonical(text), F.lit("")), 256)
+    """Hex SHA-256 of the canonical form. Never null: a join on it then needs no filter, which would be made of all texts."""
+    return F.coalesce(F.sha2(canonical(text), 256), F.lit(""))
+
+
+def _variants(word: Column) -> Column:
+    """All spellings of a canonical word."""
+    return F.array_distinct(F.concat(F.array(word), *(F.when(word == b, F.array(F.lit(a))).otherwise(F.array().cast("array<string>")) for a, b in SPELLINGS)))
 
 
 def known_licenses(spark: SparkSession, rows: list[tuple[str, str]] = KNOWN) -> DataFrame:
@@ -125,20 +135,28 @@ def scan_licenses(docs: DataFrame, known: DataFrame | None = None, id_col: str =
     """One row a document: doc_id, whole (ids that match the entire document), licenses (sorted ids that match it or a part),
     n_notices (matching parts; the whole document, a paragraph and a line at different places each count)."""
     known = known_licenses(docs.sparkSession) if known is None else known.select("license", "text")
-    digests = known.filter(F.col("license").isNotNull()).select("license", digest(F.col("text")).alias("digest")).filter(F.col("digest").isNotNull()).distinct()
+    forms = known.filter(F.col("license").isNotNull()).select("license", canonical(without_copyright(F.col("text"))).alias("form")).filter("form <> ''")
+    forms = forms.select("license", F.sha2("form", 256).alias("digest"), F.substring_index("form", " ", 1).alias("w1"), F.substring_index(F.substring_index("form", " ", 2), " ", -1).alias("w2"), F.contains("form", F.lit(" ")).alias("two")).distinct()
+    digests = forms.select("license", "digest").distinct()
+    # a text whose first two words begin no known licence, in any spelling, can't match: its digest needn't be made
+    heads = forms.select(F.explode(_variants(F.col("w1"))).alias("w1"), F.when(F.col("two"), F.col("w2")).otherwise("").alias("w2")).select("w1", F.explode(_variants(F.col("w2"))).alias("w2")).distinct()
     if known.count() <= BROADCAST_ROWS:
-        digests = F.broadcast(digests)
+        digests, heads = F.broadcast(digests), F.broadcast(heads)
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), F.xxhash64(docs[text_col].cast("string")).alias("h"))
     part = lambda kind, at, text: F.struct(F.lit(kind).alias("kind"), at.cast("int").alias("at"), text.alias("text"))
-    paragraphs = F.when(F.col("text").rlike(r"\n[ \t\r]*\n"), F.split("text", r"\n[ \t\r]*\n")).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
     units = F.concat(
-        F.array(part(0, F.lit(0), F.col("text"))),
-        F.transform(paragraphs, lambda x, i: part(1, i, x)),
-        F.transform(F.when(F.col("text").contains("\n"), F.split("text", "\n")).otherwise(F.array().cast("array<string>")), lambda x, i: part(2, i, x)),
+        F.array(part(0, F.lit(0), F.col("body"))),
+        F.transform(F.when(F.col("body").rlike(r"\n[ \t\r]*+\n"), F.split("body", r"\n[ \t\r]*+\n")).otherwise(none), lambda x, i: part(1, i, x)),
+        F.transform(F.when(F.col("body").contains("\n"), F.split("body", "\n")).otherwise(none), lambda x, i: part(2, i, x)),
     )
+    head = lambda k: F.lower(F.regexp_extract("u.text", HEAD, k))
     found = (
         rows.filter(F.col("text").isNotNull())
+        .select("doc_id", "h", without_copyright(F.col("text")).alias("body"))
         .select("doc_id", "h", F.explode(units).alias("u"))
+        .select("doc_id", "h", "u", head(1).alias("w1"), head(2).alias("w2"))
+        .join(heads, ["w1", "w2"], "left_semi")
         .select("doc_id", "h", "u.kind", "u.at", digest(F.col("u.text")).alias("digest"))
         .join(digests, "digest")
         .groupBy("doc_id", "h")
@@ -149,18 +167,16 @@ def scan_licenses(docs: DataFrame, known: DataFrame | None = None, id_col: str =
         )
     )
     rows, found = rows.select("doc_id", "h").alias("r"), found.alias("f")
-    none = F.array().cast("array<string>")
     return rows.join(found, F.col("r.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("r.h") == F.col("f.h")), "left").select("r.doc_id", F.coalesce("f.whole", none).alias("whole"), F.coalesce("f.licenses", none).alias("licenses"), F.coalesce("f.n_notices", F.lit(0)).cast("long").alias("n_notices"))
 
 
 def oracle_sql() -> str:
     """The query's rows in DuckDB: whole and licenses joined by commas."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
+    body = lambda x: f"regexp_replace({x}, {quote(COPYRIGHT)}, '', 'g')"
 
     def canon(x: str) -> str:
-        x = f"translate({x}, {quote(UPPER)} || chr(13), {quote(LOWER)} || chr(10))"
-        x = f"regexp_replace({x}, '(^|\\n)[^0-9a-z\\n]*(copyright|\\(c\\)|©|all rights reserved)[^\\n]*', '\\1', 'g')"
-        x = f"' ' || regexp_replace({x}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F©“”‘’–—…«»]+', '  ', 'g') || ' '"
+        x = f"' ' || regexp_replace(lower({x}), {quote(f'[{BETWEEN}]+')}, '  ', 'g') || ' '"
         for a, b in SPELLINGS:
             x = f"replace({x}, ' {a} ', ' {b} ')"
         return f"trim(regexp_replace({x}, ' +', ' ', 'g'))"
@@ -168,8 +184,8 @@ def oracle_sql() -> str:
     values = ", ".join(f"({quote(a)}, {quote(b)})" for a, b in KNOWN)
     return f"""
 WITH known(license, text) AS (VALUES {values}),
-digests AS (SELECT DISTINCT license, c FROM (SELECT license, {canon('text')} AS c FROM known) WHERE c <> ''),
-docs AS (SELECT row_number() OVER () AS rn, doc_id, text FROM documents),
+digests AS (SELECT DISTINCT license, c FROM (SELECT license, {canon(body('text'))} AS c FROM known) WHERE c <> ''),
+docs AS (SELECT row_number() OVER () AS rn, doc_id, {body('text')} AS text FROM documents),
 units AS (
   SELECT rn, 0 AS kind, 0 AS pos, text AS u FROM docs
   UNION ALL SELECT rn, 1, pos, u FROM (SELECT rn, unnest(regexp_split_to_array(text, '\\n[ \\t\\r]*\\n')) AS u, generate_subscripts(regexp_split_to_array(text, '\\n[ \\t\\r]*\\n'), 1) AS pos FROM docs WHERE regexp_matches(text, '\\n[ \\t\\r]*\\n'))
