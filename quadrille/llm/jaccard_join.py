@@ -5,8 +5,8 @@ ASCII; a text of fewer words, but not none, is one n-gram). Equal sets are one c
 embedded as `coords` min-hashes, the tokens of the join. A run starts at a root; a node samples some of the coordinates (at least one,
 `fan` on average, by a hash of its path), and a class goes down to the child named by its token at each of them, so two classes share a path
 with a chance that grows with their similarity. Buckets of at most `limit` classes are
-compared by brute force on their min-hashes; larger ones split again, to `depth` levels, and what is still large then
-is kept together as a whole. `runs` runs take the recall of pairs at the threshold to at least `recall`: a pair of similarity s
+compared by brute force on their min-hashes; larger ones split again, to `depth` levels. What is still large then, or has kept
+over half of the bucket that it came from (a tight group, which splits don't part), is kept together as a whole. `runs` runs take the recall of pairs at the threshold to at least `recall`: a pair of similarity s
 misses all first-level coordinates with a chance of (1 - s) to their number, and the number of runs is raised until that is
 below 1 - recall.
 
@@ -198,7 +198,8 @@ def candidate_edges(classes: DataFrame, runs: int, coords: int, fan: float, limi
     def deeper():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             line, path = children(batch.column(2).to_numpy().view(np.uint64), _tokens(batch.column(1), coords), coords, fan)
-            return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(line)), pa.array(path.view(np.int64))], ["h", "path"])
+            at = pa.array(line)
+            return pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(path.view(np.int64)), batch.column(3).take(at)], ["h", "path", "up"])
 
         return each
 
@@ -219,7 +220,7 @@ def candidate_edges(classes: DataFrame, runs: int, coords: int, fan: float, limi
 
         return each
 
-    members = map_slices(classes.select("h", "tokens"), start, "h long, path long", 4096)
+    members = map_slices(classes.select("h", "tokens"), start, "h long, path long", 4096).withColumn("up", F.lit(None).cast("long"))
     edges = None
     for level in range(1, depth + 1):
         members = written(members)
@@ -230,11 +231,15 @@ def candidate_edges(classes: DataFrame, runs: int, coords: int, fan: float, limi
         edges = found if edges is None else edges.unionByName(found)
         if counts.filter(F.col("size") > limit).isEmpty():
             return edges
-        large = members.filter(F.col("size") > limit)
+        # a bucket that has kept over half of its parent is one tight group, which splits don't part: it is taken whole, as is all at the last level
+        large = written(members.filter(F.col("size") > limit).withColumn("whole", F.coalesce(2 * F.col("size") > F.col("up"), F.lit(False)) | F.lit(level == depth)))
+        whole = large.filter("whole")
+        first = whole.groupBy("path").agg(F.min("h").alias("b"))
+        edges = edges.unionByName(whole.select("path", F.col("h").alias("a")).join(first, "path").filter("a <> b").select("a", "b"))
         if level < depth:
-            members = map_slices(large.join(classes.select("h", "tokens"), "h").select("h", "tokens", "path"), deeper, "h long, path long", 4096)
-    first = written(large.groupBy("path").agg(F.min("h").alias("b")))  # still large: one component as a whole
-    return edges.unionByName(written(large.select("path", F.col("h").alias("a"))).join(first, "path").filter("a <> b").select("a", "b"))
+            open_ = large.filter("NOT whole").join(classes.select("h", "tokens"), "h")
+            members = map_slices(open_.select("h", "tokens", "path", "size"), deeper, "h long, path long, up long", 4096)
+    return edges
 
 
 def components(edges: DataFrame) -> DataFrame:
