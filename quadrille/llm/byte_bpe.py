@@ -26,8 +26,8 @@ from .common import map_slices, text_frame
 from .token_counts import read_ranks
 
 LONG = 192
-#: Pre-tokens that a worker remembers; beyond it, it begins anew.
-MAX_KEPT = 1_000_000
+#: Pre-tokens that a worker remembers (some 200 MB); beyond it, it begins anew.
+MAX_KEPT = 300_000
 NONE = np.int32(2**31 - 1)
 EMPTY = np.uint64(2**64 - 1)
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -141,12 +141,12 @@ class Encoder:
 
     def learn(self, tokens: set[str]) -> None:
         """Encodes pre-tokens that aren't kept yet."""
-        if len(self.kept) + len(tokens) > self.max_kept:
+        new = tokens - self.kept.keys()
+        if len(self.kept) + len(new) > self.max_kept:
             self.kept.clear()
+            new = tokens
         groups: dict[int, list[tuple[str, bytes]]] = defaultdict(list)
-        for token in tokens:
-            if token in self.kept:
-                continue
+        for token in new:
             word = token.encode("utf-8")
             whole = self.ranks.get(word)
             if whole is not None:

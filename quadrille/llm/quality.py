@@ -34,7 +34,7 @@ BINS = 16
 BROADCAST_SITES, SALTS = 200_000, 32
 STATS = ["symbols", "distinct", "top", "same_next", "short", "mean_length", "words", "bare_symbols", "same_lines", "upper", "digits", "stops", "odd_ends"]
 #: Words whose kind a worker remembers.
-MAX_KEPT = 500_000
+MAX_KEPT = 100_000
 _KINDS = np.array([32 < b < 127 and not chr(b).isalnum() for b in range(256)]), np.array([65 <= b <= 90 for b in range(256)]), np.array([48 <= b <= 57 for b in range(256)])
 
 
