@@ -248,7 +248,8 @@ def components(edges: DataFrame) -> DataFrame:
     least = F.min("b").over(Window.partitionBy("a"))
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).select("a", "b", least.alias("m"))
     edges = edges.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").filter("a <> b").distinct()
-    both = written(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    # all run from a larger node to a smaller, so that both ways stay distinct
+    both = written(edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*"))
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp")))
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("m"))
