@@ -4,7 +4,7 @@ Pages are parsed to element trees. Each block element outside the article is has
 text, children); Spark counts, per host, on how many different pages a subtree stands, and those on at least
 `min_pages` pages and `min_share` of the host's pages are template parts, which are deleted. Copies of one page count once,
 so a text that is mirrored doesn't become a template. Elements whose kind says that they aren't content (nav, footer, forms,
-scripts, adverts, notices, comments ...) are deleted on every page. What is left of <article> or else <main> or else <body>
+scripts, adverts, notices, comments ...) are deleted on every page; for a class, an id or as a form only if they hold neither the article nor <main> nor most of the text. What is left of <article> or else <main> or else <body>
 is the text: white space inside a block becomes one space, blocks are joined by a newline in page order.
 
 Defined results: null and empty html give the empty text; a null url, or one without a host, belongs to the host ''; repeated
@@ -40,24 +40,47 @@ ENDS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}
 #: Elements, roles and words of class or id that say: not the article.
 DROP = frozenset("head nav footer header aside form script style noscript template iframe button select textarea input object embed svg canvas dialog menu search title link meta audio video map noembed noframes xmp".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
+#: Attribute words count as whole tokens; a compound one counts if all its pieces are WORDS or PLAIN ones.
 WORDS = frozenset("ad ads adv advert adverts advertisement advertising adbox sponsor sponsored promo promotion nav navbar navigation menu menubar sidebar aside footer header masthead topbar banner cookie cookies consent gdpr notice notices notification popup modal overlay comment comments commentlist respond replies reply discussion disqus share sharing social related recommended recommendations subscribe subscription newsletter signup login search searchbox breadcrumb breadcrumbs pagination pager widget widgets toolbar skip copyright legal tags".split())
+PLAIN = frozenset("site box bar list block container wrapper wrap area section panel form posts links link buttons button icons icon text message inner outer item items title top bottom left right main".split())
+NO_ARTICLE = frozenset("comment comments reply ad advert sponsored promo related".split())
+#: An element dropped for its class, id or as a form stays if it holds more than this share of the text; threads of comments often hold most.
+MOST, MOST_THREAD = 0.5, 0.9
+THREADS = frozenset("comment comments commentlist respond replies reply discussion disqus".split())
 _KEPT = frozenset(("html", "body", "article", "main"))
 
 
+def _said(names: str, words: frozenset) -> frozenset:
+    """The `words` that the tokens of a class or id stand for."""
+    found = set()
+    for token in names.split():
+        if token.lower() in words:
+            found.add(token.lower())
+            continue
+        pieces = set(re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", token).lower())) - {""}
+        if pieces <= words | PLAIN:
+            found |= pieces & words
+    return frozenset(found)
+
+
 class Node:
-    __slots__ = ("tag", "mark", "children", "drop", "article")
+    __slots__ = ("tag", "mark", "children", "drop", "article", "most")
 
     def __init__(self, tag: str, attributes: str = ""):
         self.tag, self.mark, self.children = tag, "", []
         self.drop, self.article = tag in DROP, tag == "article"
+        self.most = MOST if tag == "form" else 0.0  # share of the text above which it isn't dropped after all; 0: always dropped
         if attributes and "=" in attributes or "hidden" in attributes:
             got = {}
             for m in _ATTRIBUTE.finditer(attributes):
                 got.setdefault(m[1].lower(), entities.unescape(m[2] or m[3] or m[4] or ""))
             self.mark = f"{got.get('class', '')}|{got.get('id', '')}|{got.get('role', '')}".lower()
-            words = set(re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", f"{got.get('class', '')} {got.get('id', '')}").lower()))
-            if got.get("role", "").lower() in ROLES or "hidden" in got or got.get("aria-hidden") == "true" or tag not in _KEPT and words & WORDS or tag == "article" and words & {"comment", "comments", "reply", "ad", "advert", "sponsored", "promo", "related"}:
-                self.drop = True
+            names = f"{got.get('class', '')} {got.get('id', '')}"
+            words = _said(names, WORDS) if tag not in _KEPT else _said(names, NO_ARTICLE) if tag == "article" else ()
+            if "hidden" in got or got.get("aria-hidden") == "true" or got.get("role", "").lower() in ROLES - {"form"}:
+                self.drop, self.most = True, 0.0
+            elif (words or got.get("role", "").lower() == "form") and not self.drop:
+                self.drop, self.most = True, MOST_THREAD if words and words <= THREADS else MOST
             if got.get("role", "").lower() == "article":
                 self.article = True
 
@@ -132,9 +155,53 @@ def _walk(root: Node) -> list[tuple[Node, int]]:
     return out
 
 
+def _sizes(lines: list[tuple[Node, int]], dropped) -> list[int]:
+    """Characters of text in each subtree, without the dropped ones."""
+    out = [0 if dropped(node) else sum(len(c.strip()) for c in node.children if isinstance(c, str)) for node, _ in lines]
+    for at in range(len(lines) - 1, 0, -1):
+        if not dropped(lines[at][0]):
+            out[lines[at][1]] += out[at]
+    return [0 if dropped(node) else n for (node, _), n in zip(lines, out)]
+
+
+def _lift(lines: list[tuple[Node, int]]) -> None:
+    """Takes back the drop of elements that go for class, id or as a form, but hold the article, <main> or most of the text."""
+    soft = [at for at, (node, _) in enumerate(lines) if node.drop and node.most]
+    if not soft:
+        return
+    hard, under, kinds, free = set(), set(), [], []
+    for at, (node, parent) in enumerate(lines):
+        if parent in hard or node.drop and not node.most:
+            hard.add(at)
+        elif parent in under or node.drop:
+            under.add(at)
+        if at not in hard and not node.drop and (node.article or node.tag == "main"):
+            kinds.append(at)
+            if at not in under:
+                free.append(at)
+    holds = set()
+    for at in kinds:
+        if lines[at][0].tag == "main" or not free:
+            while at >= 0 and at not in holds:
+                holds.add(at)
+                at = lines[at][1]
+    sizes, inside = _sizes(lines, lambda n: n.drop and not n.most), {}
+    for at, (_, parent) in enumerate(lines):  # beside a free article only what lies in it matters
+        if parent in inside:
+            inside[at] = inside[parent]
+        elif at in free or not free and at == 0:
+            inside[at] = sizes[at]
+    for at in soft:
+        node = lines[at][0]
+        total = inside.get(at, 0)
+        if at not in hard and (at in holds or total and sizes[at] > node.most * total):
+            node.drop = False
+
+
 def _content(root: Node) -> list[Node]:
     """The articles that aren't inside dropped elements, outermost first; else main; else nothing."""
     lines = _walk(root)
+    _lift(lines)
     for wanted in (lambda n: n.article, lambda n: n.tag == "main"):
         gone, found = set(), []
         for at, (node, parent) in enumerate(lines):

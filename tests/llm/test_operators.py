@@ -303,6 +303,19 @@ def test_extract():
     assert html_extract.extract("<table><tr><td>a<td>b<tr><td>c</table>") == "a\nb\nc"
 
 
+def test_extract_keeps_what_holds_the_text():
+    story = "<h1>Title</h1><p>A story that is long enough to be the text of the page.</p>"
+    want = "Title\nA story that is long enough to be the text of the page."
+    for wrap in ('<div class="content no-sidebar">%s</div>', '<div class="layout has-sidebar">%s</div>', '<div id="header-fixed-page">%s</div>', '<div class="post tags-news">%s</div>', '<form id="aspnetForm">%s</form>', '<div class="sidebar">%s</div>'):
+        for inner in (f"<article>{story}</article>", f"<main>{story}</main>", story):
+            assert html_extract.extract("<body><nav>Menu</nav>" + wrap % inner + "</body>") == want
+    assert html_extract.extract(f'<article>{story}<section class="legal-analysis"><p>Law</p></section><div class="social-science">Science</div></article>') == want + "\nLaw\nScience"
+    assert html_extract.extract(f'<article>{story}<div class="related-posts">More</div><div class="cookieNotice">Cookies</div></article>') == want
+    assert html_extract.extract(f'<article><div class="legal">{story}</div></article>') == want
+    assert html_extract.extract(f'<article><p>Short</p></article><div class="ad">{story}</div><div id="comments">{story}</div>') == "Short"
+    assert html_extract.extract(f'<article>{story}<section id="comments">{story * 3}</section></article>') == want
+
+
 @pytest.mark.parametrize("most", [10**6, 0])
 def test_site_templates(spark, monkeypatch, most):
     monkeypatch.setattr(html_extract, "BROADCAST_TEMPLATES", most)
