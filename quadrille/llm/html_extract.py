@@ -4,8 +4,8 @@ Pages are parsed to element trees. Each block element outside the article is has
 text, children); Spark counts, per host, on how many different pages a subtree stands, and those on at least
 `min_pages` pages and `min_share` of the host's pages are template parts, which are deleted. Copies of one page count once,
 so a text that is mirrored doesn't become a template. Elements whose kind says that they aren't content (nav, footer, forms,
-scripts, adverts, notices, comments ...) are deleted on every page; for a class, an id or as a form only if they hold neither the article nor <main> nor most of the text. What is left of <article> or else <main> or else <body>
-is the text: white space inside a block becomes one space, blocks are joined by a newline in page order.
+scripts, adverts, notices, comments ...) are deleted on every page; for a class, an id or as a form only if they hold neither the article nor <main> nor most of the text. What is left of <article> (if it holds the bulk
+of <main>'s or the page's text), or else <main> or else <body> without articles that are teasers is the text: white space inside a block becomes one space, blocks are joined by a newline in page order.
 
 Defined results: null and empty html give the empty text; a null url, or one without a host, belongs to the host ''; repeated
 rows give repeated rows; malformed markup is read as far as it goes, and an unclosed comment or script ends with the page; an
@@ -47,6 +47,8 @@ NO_ARTICLE = frozenset("comment comments reply ad advert sponsored promo related
 #: An element dropped for its class, id or as a form stays if it holds more than this share of the text; threads of comments often hold most.
 MOST, MOST_THREAD = 0.5, 0.9
 THREADS = frozenset("comment comments commentlist respond replies reply discussion disqus".split())
+#: Words of an article's class or id that make it a teaser of another page.
+TEASERS = frozenset("card cards teaser teasers tile preview promo related recommended".split())
 _KEPT = frozenset(("html", "body", "article", "main"))
 
 
@@ -64,11 +66,11 @@ def _said(names: str, words: frozenset) -> frozenset:
 
 
 class Node:
-    __slots__ = ("tag", "mark", "children", "drop", "article", "most")
+    __slots__ = ("tag", "mark", "children", "drop", "article", "most", "teaser")
 
     def __init__(self, tag: str, attributes: str = ""):
         self.tag, self.mark, self.children = tag, "", []
-        self.drop, self.article = tag in DROP, tag == "article"
+        self.drop, self.article, self.teaser = tag in DROP, tag == "article", False
         self.most = MOST if tag == "form" else 0.0  # share of the text above which it isn't dropped after all; 0: always dropped
         if attributes and "=" in attributes or "hidden" in attributes:
             got = {}
@@ -83,6 +85,7 @@ class Node:
                 self.drop, self.most = True, MOST_THREAD if words and words <= THREADS else MOST
             if got.get("role", "").lower() == "article":
                 self.article = True
+            self.teaser = self.article and bool(_said(names, TEASERS))
 
 
 def parse(page: str) -> Node:
@@ -175,7 +178,7 @@ def _lift(lines: list[tuple[Node, int]]) -> None:
             hard.add(at)
         elif parent in under or node.drop:
             under.add(at)
-        if at not in hard and not node.drop and (node.article or node.tag == "main"):
+        if at not in hard and not node.drop and (node.article and not node.teaser or node.tag == "main"):
             kinds.append(at)
             if at not in under:
                 free.append(at)
@@ -198,21 +201,47 @@ def _lift(lines: list[tuple[Node, int]]) -> None:
             node.drop = False
 
 
+def _outermost(lines: list[tuple[Node, int]], wanted) -> list[int]:
+    """Lines of the wanted elements that lie neither in dropped ones nor in each other."""
+    gone, found = set(), []
+    for at, (node, parent) in enumerate(lines):
+        if parent in gone or node.drop:
+            gone.add(at)
+        elif wanted(node):
+            found.append(at)
+            gone.add(at)
+    return found
+
+
 def _content(root: Node) -> list[Node]:
-    """The articles that aren't inside dropped elements, outermost first; else main; else nothing."""
+    """The elements that hold the text: the articles if they hold the bulk of it, else <main> or else the page without its
+    teaser articles (which are marked as dropped). Nothing stands for the whole page."""
     lines = _walk(root)
     _lift(lines)
-    for wanted in (lambda n: n.article, lambda n: n.tag == "main"):
-        gone, found = set(), []
-        for at, (node, parent) in enumerate(lines):
-            if parent in gone or node.drop:
-                gone.add(at)
-            elif wanted(node):
-                found.append(node)
-                gone.add(at)
-        if found:
-            return found
-    return []
+    articles = _outermost(lines, lambda n: n.article)
+    mains = _outermost(lines, lambda n: n.tag == "main")
+    if not articles:
+        return [lines[at][0] for at in mains]
+    sizes, under = _sizes(lines, lambda n: n.drop), set(mains)
+    linked = _sizes(lines, lambda n: n.drop or n.tag == "a")
+    for at, (_, parent) in enumerate(lines):
+        if parent in under:
+            under.add(at)
+    teaser = {at for at in articles if lines[at][0].teaser or 2 * linked[at] < sizes[at]}
+    scope, within = mains, [at for at in articles if at in under]
+    if not sum(sizes[at] for at in mains) or max((sizes[at] for at in articles if at not in under and at not in teaser), default=0) > sum(sizes[at] for at in mains):
+        scope, within = [0], articles  # articles that hold <main>, or are longer than it, stand beside or around it
+    rest = sum(sizes[at] for at in scope) - sum(sizes[at] for at in within)
+    plain, marked = [at for at in within if at not in teaser], [at for at in within if at in teaser]
+    held, largest = sum(sizes[at] for at in plain), max((sizes[at] for at in plain), default=0)
+    if plain and held >= rest and (len(plain) == 1 or largest >= rest):
+        return [lines[at][0] for at in plain]
+    if not rest or not plain and rest < max((sizes[at] for at in marked), default=0):
+        return [lines[at][0] for at in within or scope]  # a list of articles
+    # beside a longer text, several shorter articles are teasers too, unless they hold more together; a single one may be the story
+    for at in marked + (plain if len(plain) > 1 and held < rest else []):
+        lines[at][0].drop = True
+    return [] if scope == [0] else [lines[at][0] for at in scope]
 
 
 def subtree_hashes(root: Node) -> dict[int, int]:

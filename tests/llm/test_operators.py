@@ -316,6 +316,21 @@ def test_extract_keeps_what_holds_the_text():
     assert html_extract.extract(f'<article>{story}<section id="comments">{story * 3}</section></article>') == want
 
 
+def test_extract_main_beside_teasers():
+    text = "<div><p>" + "The main text of the page. " * 8 + "</p></div>"
+    want = ("The main text of the page. " * 8).strip()
+    cards = "".join(f'<article class="card"><h2>Teaser {i}</h2><p>Read about {i}</p></article>' for i in range(6))
+    for many in (cards, cards.replace(' class="card"', ""), '<article class="card">One</article>', '<article><a href="/x">Read more</a></article>'):
+        assert html_extract.extract(f"<body><main>{text}</main>{many}</body>") == want
+        assert html_extract.extract(f"<body><main>{text}{many}</main></body>") == want
+        assert html_extract.extract(f"<body>{text}{many}</body>") == want
+    assert html_extract.extract(f"<main><p>Intro</p><article>{text}</article><article class=card>One</article></main>") == want
+    assert html_extract.extract(f"<main><h1>News</h1>{cards}</main>").count("Teaser") == 6  # a list of articles is all the text there is
+    assert html_extract.extract(f"<main><article><p>Story</p></article>{text}</main>") == "Story\n" + want  # nothing says that it's a teaser
+    assert html_extract.extract(f"<main><p>m</p></main><article>{text}</article>") == want
+    assert html_extract.extract(f"<article><main>{text}</main></article>") == want
+
+
 @pytest.mark.parametrize("most", [10**6, 0])
 def test_site_templates(spark, monkeypatch, most):
     monkeypatch.setattr(html_extract, "BROADCAST_TEMPLATES", most)
