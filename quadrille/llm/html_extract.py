@@ -1,9 +1,11 @@
 """Main text of web pages: site templates go, the article stays.
 
-Pages are parsed to element trees. Each block element outside the article is hashed as a subtree (tag, class and id,
-text, children); Spark counts, per host, on how many different pages a subtree stands, and those on at least
-`min_pages` pages and `min_share` of the host's pages are template parts, which are deleted. Copies of one page count once,
-so a text that is mirrored doesn't become a template. Elements whose kind says that they aren't content (nav, footer, forms,
+Pages are parsed to element trees. Block elements are hashed as subtrees (tag, class and id, text,
+children); Spark counts, per host, on how many different pages a subtree stands. Containers (div, section, lists ...), inside
+the article too, are template parts if they stand on at least `min_pages` pages; other blocks, outside the article only,
+if these are `min_share` of the host's pages as well. Template parts are deleted. Pages with the same article count once, so
+a text that is mirrored doesn't become a template; for a container with over half of an article's text only the longest
+other piece of text counts, so neither does the body of an article whose copies differ a little. Elements whose kind says that they aren't content (nav, footer, forms,
 scripts, adverts, notices, comments ...) are deleted on every page; for a class, an id or as a form only if they hold neither the article nor <main> nor most of the text. What is left of <article> (if it holds the bulk
 of <main>'s or the page's text), or else <main> or else <body> without articles that are teasers is the text: white space inside a block becomes one space, blocks are joined by a newline in page order.
 
@@ -17,6 +19,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
@@ -35,6 +38,8 @@ _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul caption title".split())
+#: Blocks that can be template parts inside an article.
+CONTAINERS = frozenset("div section ul ol dl dir table figure details fieldset center".split())
 #: Elements whose start ends an open one of these, up to the nearest of the others.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"tbody", "thead", "tfoot"}, {"table"}), "thead": ({"tbody", "thead", "tfoot"}, {"table"}), "tfoot": ({"tbody", "thead", "tfoot"}, {"table"}), "option": ({"option"}, {"select"})}
 #: Elements, roles and words of class or id that say: not the article.
@@ -265,24 +270,63 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def _key(host: str, subtree: int) -> int:
-    return xxhash.xxh3_64_intdigest(f"{host}\0{subtree:x}") - 2**63
+def _key(host: str, subtree: int, container: bool) -> int:
+    """Odd for containers, even for other blocks; 0 is left to the page itself."""
+    return (xxhash.xxh3_64_intdigest(f"{host}\0{subtree:x}") - 2**63 | 1) - (0 if container else 1) or 2
 
 
-def _outside(root: Node) -> Iterator[tuple[Node, int]]:
-    """Block elements that neither are, hold nor lie in the main content, with their hashes."""
-    content = {id(n) for n in _content(root)}
+def _parts(root: Node, content: list[Node], digest: int) -> Iterator[tuple[Node, int, bool, int]]:
+    """Block elements that may be template parts: those that neither are, hold nor lie in the main content, and containers
+    in it; with their hashes, whether they're containers, and the digest of the page to count them by (the page's own, if there's no content)."""
     lines, hashes = _walk(root), subtree_hashes(root)
-    inside, holds = set(), set()
+    kept, inside, holds = {id(n) for n in content}, set(), set()
     for at, (node, parent) in enumerate(lines):
-        if parent in inside or id(node) in content:
+        if parent in inside or id(node) in kept:
             inside.add(at)
-            while parent >= 0 and parent not in holds:
+            while id(node) in kept and parent >= 0 and parent not in holds:
                 holds.add(parent)
                 parent = lines[parent][1]
+    if content:
+        digest = xxhash.xxh3_64_intdigest("\0".join(f"{hashes.get(id(n), 0):x}" for n in content)) - 2**63
+    others = None
     for at, (node, _) in enumerate(lines):
-        if at not in inside and at not in holds and id(node) in hashes and node.tag not in ("html", "body"):
-            yield node, hashes[id(node)]
+        if at in holds or id(node) in kept or id(node) not in hashes or node.tag in ("html", "body"):
+            continue
+        container = node.tag in CONTAINERS
+        if at not in inside:
+            yield node, hashes[id(node)], container, digest
+        elif container:
+            others = others or _Others(lines, inside)
+            yield node, hashes[id(node)], True, others.longest(at) if others.most(at) else digest
+
+
+class _Others:
+    """Text of the lines `inside`, and the longest piece of it outside a subtree."""
+
+    def __init__(self, lines: list[tuple[Node, int]], inside: set[int]):
+        n = len(lines)
+        self.sizes, self.ends = [0] * n, list(range(1, n + 1))
+        best = [""] * n
+        for at in range(n - 1, -1, -1):
+            node, parent = lines[at]
+            if at in inside and not node.drop:
+                said = [c.strip() for c in node.children if isinstance(c, str)]
+                best[at] = max(said, key=len, default="")
+                self.sizes[at] += sum(map(len, said))
+            elif node.drop:
+                self.sizes[at] = 0
+            if parent >= 0:
+                self.sizes[parent] += self.sizes[at]
+                self.ends[parent] = max(self.ends[parent], self.ends[at])
+        longer = lambda a, b: b if len(b) > len(a) else a
+        self.before = list(accumulate(best, longer, initial=""))
+        self.after = list(accumulate(reversed(best), longer, initial=""))[::-1]
+
+    def most(self, at: int) -> bool:
+        return 2 * self.sizes[at] > self.sizes[0]
+
+    def longest(self, at: int) -> int:
+        return xxhash.xxh3_64_intdigest(max(self.before[at], self.after[self.ends[at]], key=len)) - 2**63
 
 
 def extract(page: str | None, host: str = "", template=()) -> str:
@@ -290,9 +334,10 @@ def extract(page: str | None, host: str = "", template=()) -> str:
     if not page:
         return ""
     root = parse(page)
-    gone = {id(node) for node, h in _outside(root) if _key(host, h) in template} if template else set()
+    content = _content(root)
+    gone = {id(node) for node, h, container, _ in _parts(root, content, 0) if _key(host, h, container) in template} if template else set()
     blocks: list[list[str]] = [[]]
-    todo: list = list(reversed(_content(root) or [root]))
+    todo: list = list(reversed(content or [root]))
     first = {id(n) for n in todo}
     while todo:
         x = todo.pop()
@@ -322,10 +367,11 @@ def template_keys(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float
                     continue
                 host, digest = host_of(url), xxhash.xxh3_64_intdigest(page) - 2**63
                 own = xxhash.xxh3_64_intdigest(host) - 2**63
-                for key in {0, *(_key(host, h) for _, h in _outside(parse(page)))}:
+                root = parse(page)
+                for key, at in {(0, digest), *((_key(host, h, c), d) for _, h, c, d in _parts(root, _content(root), digest))}:
                     hosts.append(own)
                     keys.append(key)
-                    digests.append(digest)
+                    digests.append(at)
             return pa.RecordBatch.from_arrays([pa.array(hosts, pa.int64()), pa.array(keys, pa.int64()), pa.array(digests, pa.int64())], ["host", "key", "digest"])
 
         return each
@@ -334,7 +380,7 @@ def template_keys(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float
     counts = seen.groupBy("host", "key").agg(F.count(F.lit(1)).alias("n"))
     often = counts.filter((F.col("n") >= min_pages) | (F.col("key") == 0))
     totals = often.filter("key = 0").select("host", F.col("n").alias("pages"))
-    return often.filter("key <> 0").join(totals, "host").filter((F.col("n") >= min_pages) & (F.col("n") >= min_share * F.col("pages"))).select("key", "host")
+    return often.filter("key <> 0").join(totals, "host").filter((F.col("n") >= min_pages) & ((F.col("key") % 2 != 0) | (F.col("n") >= min_share * F.col("pages")))).select("key", "host")
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
@@ -361,7 +407,8 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
             for url, page in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 if page:
                     digest = _page_key(url, page)
-                    for key in {_key(host_of(url), h) for _, h in _outside(parse(page))}:
+                    root = parse(page)
+                    for key in {_key(host_of(url), h, c) for _, h, c, _ in _parts(root, _content(root), 0)}:
                         digests.append(digest)
                         wanted.append(key)
             return pa.RecordBatch.from_arrays([pa.array(digests, pa.int64()), pa.array(wanted, pa.int64())], ["page", "key"])

@@ -347,6 +347,25 @@ def test_site_templates(spark, monkeypatch, most):
     assert html_extract.extract_pages(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("most", [10**6, 0])
+def test_site_templates_in_articles(spark, monkeypatch, most):
+    monkeypatch.setattr(html_extract, "BROADCAST_TEMPLATES", most)
+    box = "<div class=letter>Get our letter<p>It comes each week</p></div>"
+    page = lambda i, tag, inner: f"<body><{tag}><h2>Head {i}</h2><p>Story {i} about {i * i} things</p>{inner}<p>Same line</p><ul><li>Item {i}</li><li>Same item</li></ul></{tag}><p>Out {i}</p></body>"
+    text = lambda i: f"Head {i}\nStory {i} about {i * i} things\nSame line\nItem {i}\nSame item"
+    rows = [(i, "http://a.example/", page(i, "article", box if i < 10 else "")) for i in range(200)]  # a twentieth of the host
+    rows += [(300 + i, "http://b.example/", page(i, "main", box)) for i in range(20)]
+    rows += [(400 + i, "http://c.example/", page(i, "article", box)) for i in range(3)]
+    body = "<div class=body><p>A story that is told again and again, on many pages of this host.</p></div>"
+    rows += [(500 + i, "http://d.example/", f"<nav>{i}</nav><article><h1>One and the same</h1>{body}</article>") for i in range(20)]
+    rows += [(600 + i, "http://e.example/", f"<article><h1>One and the same</h1>{body}<p>Views: {i}</p></article>") for i in range(20)]
+    rows += [(700 + i, "http://f.example/", f"<article><p>Brief {i}</p>{box}</article>") for i in range(20)]
+    got = {r.page_id: r.text for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == text(i) for i in range(200)) and all(got[300 + i] == text(i) for i in range(20))
+    assert all("Get our letter\nIt comes each week" in got[400 + i] for i in range(3))
+    assert all("told again" in got[500 + i] and "told again" in got[600 + i] and got[700 + i] == f"Brief {i}" for i in range(20))
+
+
 def test_op9_keeps_articles(spark, sf):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
     for r in queries.op9_html_extract(spark, sf).collect():
