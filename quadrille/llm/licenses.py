@@ -1,6 +1,6 @@
 """Licence scans by canonical digests, in DataFrame functions alone.
 
-Copyright lines are taken out, texts are brought to a canonical form (case, punctuation, equivalent spellings) and
+Lines that state a copyright are taken out, texts are brought to a canonical form (case, punctuation, equivalent spellings) and
 hashed; the digests of known licences, made in the same way, are hash-joined to them. What is looked up
 is always an entire text: the whole document, each of its paragraphs (between empty lines) and each of its lines.
 Texts whose first two words begin no known licence are left out before their digest is made, by a hash join too.
@@ -57,8 +57,43 @@ SPELLINGS = [
     ("whilst", "while"),
     ("wilful", "willful"),
 ]
-#: A line that states a copyright, or that all rights are reserved, with the line break before it.
-COPYRIGHT = r"(^|\n)[^0-9a-zA-Z\n]*([cC][oO][pP][yY][rR][iI][gG][hH][tT]|\([cC]\)|©|[aA][lL][lL] [rR][iI][gG][hH][tT][sS] [rR][eE][sS][eE][rR][vV][eE][dD])[^\n]*"
+
+
+def _no_word_of(words: list[str], first: str) -> str:
+    """A pattern, without look-ahead (RE2 has none), for the start of a word with a letter of the class `first` that is none of `words`."""
+
+    def beyond(prefix: str) -> str:
+        following = sorted({w[len(prefix)] for w in words if w.startswith(prefix) and w != prefix})
+        either = lambda c: f"[{c}{c.upper()}]"
+        longer = [either(c) + beyond(prefix + c) for c in following]
+        letters = "".join(c + c.upper() for c in following)
+        if prefix in words:  # the word itself is out, a longer one isn't
+            other = "[" + "".join(c for c in "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ" if c not in letters) + "]"
+        else:
+            other = rf"[^{letters}\n]"
+        return "(" + "|".join([other, *longer]) + ")"
+
+    starts = sorted({w[0] for w in words})
+    others = "".join(c for c in first if c.lower() not in starts)
+    return "(" + "|".join([rf"[{others}]|[^\x00-\x7F©“”‘’–—…«»]", *(c.upper() + beyond(c) for c in starts)]) + ")"
+
+
+#: Words after "copyright" or "(c)" by which a licence speaks of copyrights, or lists conditions, rather than names a holder.
+_NOT_HOLDERS = "notice notices holder holders owner owners law laws license licenses licence licences statement statements interest interests infringement protection rights and or in to of for on is are as if any all each this you your we under with from by".split()
+_CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_GAP = r"[ \t,:;.*–—-]*"
+_SIGN = r"(\([cC]\)|©|&[cC][oO][pP][yY];)"
+_YEAR = r"([0-9]|[\[<{]|19yy|YEAR)"
+_HOLDER = _no_word_of(_NOT_HOLDERS, _CAPITALS)
+#: A line that states a copyright (with the sign, a year or a holder), or that all rights are reserved, with the line break before it.
+COPYRIGHT = (
+    r"(^|\n)[^0-9a-zA-Z\n©]*("
+    rf"[cC][oO][pP][yY][rR][iI][gG][hH][tT]{_GAP}({_SIGN}|{_YEAR}|[bB][yY][ \t])"
+    rf"|[cC]opyright[ \t,:]+{_HOLDER}"
+    rf"|COPYRIGHT[ \t,:]+{_no_word_of([*_NOT_HOLDERS, 'the'], _CAPITALS)}"
+    rf"|©|\([cC]\){_GAP}([cC][oO][pP][yY][rR][iI][gG][hH][tT]|{_YEAR}|{_HOLDER})"
+    r"|[aA][lL][lL] [rR][iI][gG][hH][tT][sS] [rR][eE][sS][eE][rR][vV][eE][dD])[^\n]*"
+)
 #: Characters between words, and the first two words of a text (the second may be missing).
 BETWEEN = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F©“”‘’–—…«»"
 HEAD = rf"^[{BETWEEN}]*+([^{BETWEEN}]++)[{BETWEEN}]*+([^{BETWEEN}]*+)"

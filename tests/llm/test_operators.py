@@ -149,6 +149,27 @@ def test_licenses(spark, odd, empty):
     assert {r.n_notices for r in licenses.scan_licenses(odd, none).collect()} == {0}
 
 
+def test_licenses_wrapped(spark):
+    import textwrap
+
+    texts = {}
+    for width in range(30, 100):
+        for a, known in licenses.KNOWN[:10]:
+            if len(known) > 500:
+                text = "\n\n".join(textwrap.fill(x, width) for x in known.split("\n\n"))
+                texts[len(texts)] = (a, f"Copyright (c) 2020, Some Body <s@b.example>\nAll rights reserved.\n\n{text}")
+    frame = spark.createDataFrame([(i, t) for i, (_, t) in texts.items()], "doc_id long, text string")
+    assert {r.doc_id: r.whole for r in licenses.scan_licenses(frame).collect()} == {i: [a] for i, (a, _) in texts.items()}
+    stated = ["Copyright (c) 2020 A", "COPYRIGHT 2020 A", "Copyright: 2020", "# Copyright The Authors", "copyright Andrew Noto", "Copyright Lawson", "COPYRIGHT ACME", "(c) 2020 A", "(C) Some Body", "© A", " * Copyright <year> <name>", "Copyright [yyyy] [name of copyright owner]", "Copyright by A", "Copyright Ö", "All rights reserved.", "(c) Copyright 2020 A"]
+    spoken = ["copyright notice and this permission notice appear in all copies.", "COPYRIGHT HOLDERS BE LIABLE", "COPYRIGHT", '"Copyright Holder" is whoever', "copyright law: that is", "copyright and related rights", "(c) You must retain, in the Source", "(c) under Patent Claims", "COPYRIGHT OWNER OR CONTRIBUTORS", "copyrighted by the Free", "Copyright Notice", "copyright the software, and", "COPYRIGHT AND THE"]
+    rows = spark.createDataFrame([(x,) for x in stated + spoken], "x string")
+    left = {r.x: r.y for r in rows.select("x", licenses.without_copyright(F.concat(F.lit("a\n"), "x", F.lit("\nb"))).alias("y")).collect()}
+    assert left == {x: "a\nb" for x in stated} | {x: f"a\n{x}\nb" for x in spoken}
+    with duckdb.connect() as db:
+        for x, y in left.items():
+            assert db.execute("SELECT regexp_replace(?, ?, '', 'g')", [f"a\n{x}\nb", licenses.COPYRIGHT]).fetchone()[0] == y
+
+
 def test_license_plan_is_native(spark, docs):
     plan = licenses.scan_licenses(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
