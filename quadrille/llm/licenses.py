@@ -13,7 +13,9 @@ empty table gives an empty table.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -106,6 +108,75 @@ The above copyright notice and this permission notice shall be included in all c
 
 THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
 _ISC_WARRANTY = """THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+_BSD_2 = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+_BSD_3 = """
+
+3. Neither the name of {} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."""
+_BSD_WARRANTY = """
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT {} OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+
+
+def _entire(name: str) -> str:
+    return (Path(__file__).parent / "license_texts" / f"{name}.txt").read_text(encoding="utf-8")
+
+
+def _bsd() -> list[tuple[str, str]]:
+    """The texts with two and three conditions, numbered or not, with the usual titles and fillings."""
+    out = []
+    for kind, names in (("BSD-2-Clause", [None]), ("BSD-3-Clause", ["the copyright holder", "the University", "the author", "the organization", "<organization>", "the <organization>"])):
+        n, word = kind[4], "Simplified" if kind == "BSD-2-Clause" else "New"
+        titles = ["", "BSD License", "The BSD License", f"BSD {n}-Clause License", f"The BSD {n}-Clause License", f"BSD {n}-Clause ({word}) License", f"{n}-Clause BSD License", f"The {n}-Clause BSD License"]
+        for name in names:
+            for holder in ("HOLDER", "OWNER"):
+                text = _BSD_2 + (_BSD_3.format(name) if name else "") + _BSD_WARRANTY.format(holder)
+                for body in (text, re.sub(r"(?m)^[0-9]\. ", "* ", text)):
+                    out += [(kind, f"{title}\n\n{body}") for title in titles]
+    return [*out, ("BSD-3-Clause", _entire("BSD"))]
+
+
+def _entire_texts() -> list[tuple[str, str]]:
+    """Licences as published, with and without their appendix, with links as http and https; one text may stand for two ids."""
+    out = []
+    for ids, name, end in [
+        (["Apache-2.0"], "Apache-2.0", "END OF TERMS AND CONDITIONS"),
+        (["GPL-2.0-only", "GPL-2.0-or-later"], "GPL-2", "END OF TERMS AND CONDITIONS"),
+        (["GPL-3.0-only", "GPL-3.0-or-later"], "GPL-3", "END OF TERMS AND CONDITIONS"),
+        (["LGPL-2.1-only", "LGPL-2.1-or-later"], "LGPL-2.1", "END OF TERMS AND CONDITIONS"),
+        (["LGPL-3.0-only", "LGPL-3.0-or-later"], "LGPL-3", None),
+        (["MPL-2.0"], "MPL-2.0", "Exhibit A - Source Code Form License Notice"),
+        (["CC0-1.0"], "CC0-1.0", None),
+        (["Unlicense"], "Unlicense", "For more information, please refer to"),
+    ]:
+        text = _entire(name)
+        texts = [text, text.replace("https://", "http://"), text.replace("http://", "https://"), text.replace("https://", "http://").replace("licenses/why-not-lgpl", "philosophy/why-not-lgpl")]
+        if end:
+            terms = text[: text.index(end)].rstrip(" \n-")
+            texts += [terms, f"{terms}\n\n{end}"] if end.startswith("END") else [terms]
+        if name == "CC0-1.0":
+            texts += [text.partition("\n")[2]]
+        out += [(i, t) for t in dict.fromkeys(texts) for i in ids]
+    return out
+
+
+def _gnu_notices() -> list[tuple[str, str]]:
+    """The first paragraph of the notices that the GNU licences propose for source files."""
+    out = []
+    for short, name, versions in (("GPL", "GNU General Public License", ("2", "3")), ("LGPL", "GNU Lesser General Public License", ("2.1", "3")), ("AGPL", "GNU Affero General Public License", ("3",))):
+        for what in ("program", "library", "software", "file"):
+            for v in versions:
+                for comma in (":", ";"):
+                    start = f"This {what} is free software{comma} you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software Foundation"
+                    spdx = f"{short}-{v if '.' in v else v + '.0'}"
+                    out += [(f"{spdx}-or-later", f"{start}{sep} either version {v} of the License, or (at your option) any later version.") for sep in (",", ";")]
+                    out += [(f"{spdx}-only", f"{start}, version {v} of the License."), (f"{spdx}-only", f"{start}, version {v}."), (f"{spdx}-only", f"{start}; version {v} of the License.")]
+    return list(dict.fromkeys(out))
+
+
 #: Fixed values: (licence id, entire text of the licence or of a notice that names it).
 KNOWN = [
     ("MIT", _MIT),
@@ -138,6 +209,10 @@ KNOWN = [
     ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
     ("CC0-1.0", "SPDX-License-Identifier: CC0-1.0"),
     ("Unlicense", "SPDX-License-Identifier: Unlicense"),
+    *((x, f"SPDX-License-Identifier: {x}") for x in "GPL-2.0-or-later LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later AGPL-3.0-only AGPL-3.0-or-later".split()),
+    *_bsd(),
+    *_entire_texts(),
+    *_gnu_notices(),
 ]
 
 

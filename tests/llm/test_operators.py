@@ -170,6 +170,36 @@ def test_licenses_wrapped(spark):
             assert db.execute("SELECT regexp_replace(?, ?, '', 'g')", [f"a\n{x}\nb", licenses.COPYRIGHT]).fetchone()[0] == y
 
 
+def test_licenses_entire_texts(spark):
+    import pathlib
+
+    folder = pathlib.Path(licenses.__file__).parent / "license_texts"
+    read = lambda name: (folder / f"{name}.txt").read_text()
+    bsd = read("BSD").replace("REGENTS AND", "COPYRIGHT HOLDERS AND").replace("REGENTS OR", "COPYRIGHT HOLDER OR").replace("The Regents", "2020 Some Body, the Regents")
+    third = bsd[bsd.index("3. Neither") : bsd.index("THIS SOFTWARE")]
+    agpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU Affero General Public License as\npublished by the Free Software Foundation, either version 3 of the\nLicense, or (at your option) any later version."
+    both = lambda x: [f"{x}-only", f"{x}-or-later"]
+    cases = [
+        (["Apache-2.0"], read("Apache-2.0").replace("[yyyy] [name of copyright owner]", "2020 Some Body")),
+        (["Apache-2.0"], read("Apache-2.0").partition("   APPENDIX")[0]),
+        (["BSD-2-Clause"], "BSD 2-Clause License\n\n" + bsd.replace(third, "")),
+        (["BSD-3-Clause"], bsd),
+        (["BSD-3-Clause"], bsd.replace("the University", "the copyright holder")),
+        (both("GPL-2.0"), read("GPL-2")),
+        (both("GPL-3.0"), read("GPL-3").replace("https:", "http:")),
+        (both("LGPL-2.1"), read("LGPL-2.1")),
+        (both("LGPL-3.0"), read("LGPL-3")),
+        (["MPL-2.0"], read("MPL-2.0")),
+        (["CC0-1.0"], read("CC0-1.0")),
+        (["Unlicense"], read("Unlicense").replace("\n", "\r\n")),
+        (["AGPL-3.0-or-later"], agpl),
+        (["AGPL-3.0-or-later"], "SPDX-License-Identifier: AGPL-3.0-or-later"),
+        ([], read("GPL-3").replace("freedom", "fredom", 1)),
+    ]
+    frame = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(cases)], "doc_id long, text string")
+    assert {r.doc_id: r.whole for r in licenses.scan_licenses(frame).collect()} == {i: want for i, (want, _) in enumerate(cases)}
+
+
 def test_license_plan_is_native(spark, docs):
     plan = licenses.scan_licenses(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
