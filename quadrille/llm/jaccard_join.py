@@ -103,10 +103,10 @@ def roots(runs: int, seed: int) -> np.ndarray:
 
 def runs_for(recall: float, similarity: float, coords: int, fan: float, seed: int, least: int = 6) -> int:
     """Runs whose first-level coordinates bring the chance of a miss below 1 - recall."""
-    for runs in range(least, 64):
+    for runs in range(least, 65):
         if (1 - similarity) ** int(chosen(roots(runs, seed), coords, fan).any(axis=0).sum()) <= (1 - recall) / 2:
             return runs
-    return 64
+    raise ValueError(f"64 runs don't reach a recall of {recall} at similarity {similarity}")
 
 
 def children(paths: np.ndarray, tokens: np.ndarray, coords: int, fan: float) -> tuple[np.ndarray, np.ndarray]:
@@ -182,7 +182,7 @@ def _grouped(frame: DataFrame, key: str, fn, schema: str, rows_a_task: int = 20_
     return frame.repartition(key).sortWithinPartitions(key).mapInArrow(run, schema)
 
 
-def candidate_edges(classes: DataFrame, runs: int, coords: int, fan: float, limit: int, depth: int, alike: int, seed: int) -> DataFrame:
+def candidate_edges(classes: DataFrame, runs: int, coords: int, fan: float, limit: int, depth: int, alike: int, seed: int, similarity: float) -> DataFrame:
     """Edges (a, b) of classes that met in a bucket and may be similar, each class with the first of its bucket's component."""
     top = roots(runs, seed)
 
@@ -203,16 +203,20 @@ def candidate_edges(classes: DataFrame, runs: int, coords: int, fan: float, limi
 
         return each
 
+    # sets of a Jaccard similarity s have sizes of a ratio of at least s; up to 1/2 is let through in any case, as such classes link others
+    ratio = min(Fraction(1, 2), Fraction(similarity).limit_denominator(10**6))
+    over, under = ratio.numerator, ratio.denominator
+
     def compare():
         def each(table: pa.Table) -> pa.Table:
-            h, sizes = table.column("h").to_numpy(), table.column("n_grams").to_numpy()
+            h, sizes = table.column("h").to_numpy(), table.column("n_grams").to_numpy().astype(np.int64)
             tokens = np.frombuffer(b"".join(table.column("short").to_pylist()), np.uint8).reshape(-1, coords)
             order = np.argsort(h)
             h, sizes, tokens = h[order], sizes[order], tokens[order]
             same = np.zeros((len(h), len(h)), np.int16)
             for c in range(coords):
                 same += tokens[:, c][:, None] == tokens[:, c][None, :]
-            fit = (same >= alike) & (2 * np.minimum(sizes[:, None], sizes[None, :]) > np.maximum(sizes[:, None], sizes[None, :]))
+            fit = (same >= alike) & (under * np.minimum(sizes[:, None], sizes[None, :]) >= over * np.maximum(sizes[:, None], sizes[None, :]))
             a, b = np.nonzero(np.triu(fit, 1))
             root = _union(len(h), a, b)
             own = root != np.arange(len(h))
@@ -276,7 +280,7 @@ def jaccard_join(docs: DataFrame, n: int = 5, similarity: float = 0.8, recall: f
     runs = runs_for(recall, similarity, coords, fan, seed)
     spread = max(0.05, 6 * (similarity * (1 - similarity) / coords) ** 0.5)
     alike = max(1, int(coords * (similarity - spread)))
-    edges = candidate_edges(tokens, runs, coords, fan, limit, depth, alike, seed)
+    edges = candidate_edges(tokens, runs, coords, fan, limit, depth, alike, seed, similarity)
     near = written(components(edges))
     near = written(near.join(classes.select("h", "copies", "n_grams"), near["node"] == F.col("h")).select("h", "comp", "copies", "n_grams"))
     sizes = near.groupBy("comp").agg(F.count(F.lit(1)).alias("m"), F.sum("n_grams").alias("grams"))

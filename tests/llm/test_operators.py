@@ -468,6 +468,16 @@ def test_jaccard_join(spark, small):
     assert [got[i].is_first for i in range(len(texts))] == [r == i for i, r in enumerate(roots)]
 
 
+def test_jaccard_join_of_unequal_sizes(spark):
+    words = [f"w{i}" for i in range(2000)]
+    texts = [" ".join(words[:204]), " ".join(words[:484]), " ".join(words[1000:1104]), " ".join(words[1000:1204])]  # 200 of 480 5-grams, 100 of 200
+    assert jaccard_join.links_plainly(texts, similarity=0.4) == [(0, 1), (2, 3)]
+    got = jaccard_join.jaccard_join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), similarity=0.4).collect()
+    assert [(r.class_id, r.n_links) for r in sorted(got, key=lambda r: r.doc_id)] == [(0, 1), (0, 1), (2, 1), (2, 1)]
+    with pytest.raises(ValueError, match="recall"):
+        jaccard_join.runs_for(0.999, 0.01, 64, 1.5, 0)
+
+
 def test_jaccard_join_odd_rows(spark, odd, empty):
     got = jaccard_join.jaccard_join(odd).collect()
     assert len(got) == odd.count()
