@@ -28,7 +28,9 @@ def shared_dir(spark: SparkSession) -> str:
     if told is None and known.isDefined():
         return known.get()
     if told is None:
-        told = tempfile.mkdtemp(prefix="quadrille-")
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        told = tempfile.mkdtemp(prefix="quadrille-")  # one machine, as in tests
     if not known.isDefined():
         context.setCheckpointDir(told)
     return told
@@ -39,7 +41,17 @@ def written(frame: DataFrame) -> DataFrame:
     spark = frame.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
     frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    out = spark.read.schema(frame.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables made by written() that nothing reads any more; what was made of them must have been written itself."""
+    for table in tables:
+        jvm = table.sparkSession._jvm
+        place = jvm.org.apache.hadoop.fs.Path(table.stored_at)
+        place.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
 
 
 def map_slices(frame: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str | T.StructType, size: int = SLICE) -> DataFrame:

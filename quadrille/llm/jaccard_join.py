@@ -4,15 +4,15 @@ Documents become sets of word n-grams (five words; A-Z in lower case, words are
 ASCII; a text of fewer words, but not none, is one n-gram). Equal sets are one class with a count. Classes are
 embedded as `coords` min-hashes, the tokens of the join. A run starts at a root; a node samples some of the coordinates (at least one,
 `fan` on average, by a hash of its path), and a class goes down to the child named by its token at each of them, so two classes share a path
-with a chance that grows with their similarity. Buckets of at most `limit` classes are
-compared by brute force on their min-hashes; larger ones split again, to `depth` levels. What is still large then, or has kept
-over half of the bucket that it came from (a tight group, which splits don't part), is kept together as a whole. `runs` runs take the recall of pairs at the threshold to at least `recall`: a pair of similarity s
+with a chance that grows with their similarity. Buckets of at most `limit` classes are compared by brute force on their min-hashes.
+In a larger one the first class is a pivot: classes near to it are tied to it, and if all are, the bucket is done. Else those that aren't much like it split again, down to `depth` levels; below,
+they go to the next pivot, for as many rounds as it takes. A class that is much like the pivot and one that isn't tied lie further apart than a link, so
+no pair is lost. `runs` runs take the recall of pairs at the threshold to at least `recall`: a pair of similarity s
 misses all first-level coordinates with a chance of (1 - s) to their number, and the number of runs is raised until that is
 below 1 - recall.
 
 Buckets only say which classes may belong together; connected ones form candidate components. Inside these all pairs are
-checked exactly on their n-grams, in tiles of at most 2 * `block` classes, so no group lands in one task. Links are counted,
-not listed.
+decided exactly on their n-grams (see _links): texts are read once, and no component lands in one task. Links are counted, not listed.
 
 Defined results: a document without words (null, empty, punctuation only) has no n-grams, no links and is its own class; equal
 sets are similar (1.0), so copies are links of each other; repeated rows are copies, each with a row in the result; ties don't
@@ -23,7 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +31,15 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_slices, text_frame, written
+from .common import forget, map_slices, text_frame, written
 from .decontaminate import words_of
 
 COORDS = 64
 MAX_WORDS_KEPT = 500_000
+#: Numbers in this many sets of a tile are counted by a matrix product.
+DENSE = 48
+#: How a class stands to the pivot of its bucket.
+LIKE, TIED, APART = 0, 1, 2
 _M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -182,24 +186,22 @@ def _grouped(frame: DataFrame, key: str, fn, schema: str, rows_a_task: int = 20_
     return frame.repartition(key).sortWithinPartitions(key).mapInArrow(run, schema)
 
 
-def candidate_edges(classes: DataFrame, runs: int, coords: int, fan: float, limit: int, depth: int, alike: int, seed: int, similarity: float) -> DataFrame:
-    """Edges (a, b) of classes that met in a bucket and may be similar, each class with the first of its bucket's component."""
+def _merged(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A sort-merge join at every size: neither side has a bound, and skewed keys are split at run time."""
+    return left.join(right.hint("merge"), on, how)
+
+
+def candidate_components(classes: DataFrame, runs: int, coords: int, fan: float, limit: int, depth: int, alike: int, seed: int, similarity: float) -> DataFrame:
+    """node, comp of the classes that met another one in a bucket and may be similar to it. In small buckets each is tied to the
+    first of its bucket's component, in large ones to pivots."""
     top = roots(runs, seed)
 
     def start():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             tokens = _tokens(batch.column(1), coords)
             out = [children(np.full(len(tokens), r, np.uint64), tokens, coords, fan) for r in top]
-            line, path = np.concatenate([x for x, _ in out]), np.concatenate([p for _, p in out])
-            return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(line)), pa.array(path.view(np.int64))], ["h", "path"])
-
-        return each
-
-    def deeper():
-        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            line, path = children(batch.column(2).to_numpy().view(np.uint64), _tokens(batch.column(1), coords), coords, fan)
-            at = pa.array(line)
-            return pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(path.view(np.int64)), batch.column(3).take(at)], ["h", "path", "up"])
+            line, path = pa.array(np.concatenate([x for x, _ in out])), np.concatenate([p for _, p in out])
+            return pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), *(batch.column(k).take(line) for k in (0, 2, 3))], ["path", "h", "n_grams", "short"])
 
         return each
 
@@ -213,115 +215,127 @@ def candidate_edges(classes: DataFrame, runs: int, coords: int, fan: float, limi
             tokens = np.frombuffer(b"".join(table.column("short").to_pylist()), np.uint8).reshape(-1, coords)
             order = np.argsort(h)
             h, sizes, tokens = h[order], sizes[order], tokens[order]
-            same = np.zeros((len(h), len(h)), np.int16)
-            for c in range(coords):
-                same += tokens[:, c][:, None] == tokens[:, c][None, :]
-            fit = (same >= alike) & (under * np.minimum(sizes[:, None], sizes[None, :]) >= over * np.maximum(sizes[:, None], sizes[None, :]))
-            a, b = np.nonzero(np.triu(fit, 1))
-            root = _union(len(h), a, b)
+            columns, pairs = np.ascontiguousarray(tokens.T), []
+            for at in range(0, len(h), 256):  # a few lines against all that follow them
+                n = min(256, len(h) - at)
+                same = np.zeros((n, len(h) - at), np.uint8)
+                for c in columns:
+                    same += c[at : at + n, None] == c[None, at:]
+                a, b = np.nonzero(same >= alike)
+                a, b = a[b > a] + at, b[b > a] + at
+                fit = under * np.minimum(sizes[a], sizes[b]) >= over * np.maximum(sizes[a], sizes[b])
+                pairs.append((a[fit], b[fit]))
+            root = _union(len(h), *(np.concatenate(x) if x else np.zeros(0, np.int64) for x in zip(*pairs, strict=True)))
             own = root != np.arange(len(h))
             return pa.table({"a": h[own], "b": h[root[own]]})
 
         return each
 
-    members = map_slices(classes.select("h", "tokens"), start, "h long, path long", 4096).withColumn("up", F.lit(None).cast("long"))
-    edges = None
-    for level in range(1, depth + 1):
+    # a member this like the pivot needs no other partner, and one this near to it is tied to it: wider by the distance of a link and the error of the sketches
+    like_at = coords * (1 - 1.25 * (1 - similarity))
+    tied_at = max(1.0, like_at - coords * (1 - similarity + 0.15))
+
+    def mark():
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            own, pivot = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, coords) for k in (3, 4))
+            same = (own == pivot).sum(axis=1)
+            state = np.where(same >= like_at, LIKE, np.where(same >= tied_at, TIED, APART)).astype(np.int8)
+            return pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(state)], ["path", "h", "pivot", "state"])
+
+        return each
+
+    def part(split: bool):
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            path, rest = batch.column(0).to_numpy().view(np.uint64), batch.columns[1:4]
+            if split:
+                line, path = children(path, _tokens(batch.column(4), coords), coords, fan)
+                line = pa.array(line)
+                rest = [c.take(line) for c in rest]
+            else:
+                path = mix(path)
+            return pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), *rest], ["path", "h", "n_grams", "short"])
+
+        return each
+
+    shape = "path long, h long, n_grams long, short binary"
+    members = map_slices(classes.select("h", "tokens", "n_grams", "short"), start, shape, 4096)
+    leaves, found, used, level = [], [], [], 0
+    while True:
+        level += 1
         members = written(members)
         counts = written(members.groupBy("path").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"))
-        members = members.join(counts, "path")
-        leaves = members.filter(F.col("size") <= limit).join(classes.select("h", "n_grams", "short"), "h").select("path", "h", "n_grams", "short")
-        found = _grouped(leaves, "path", compare, "a long, b long")
-        edges = found if edges is None else edges.unionByName(found)
+        used += [members, counts]
+        leaves.append(_merged(members, counts.filter(F.col("size") <= limit).select("path"), "path").select("path", "h", "n_grams", "short"))
         if counts.filter(F.col("size") > limit).isEmpty():
-            return edges
-        # a bucket that has kept over half of its parent is one tight group, which splits don't part: it is taken whole, as is all at the last level
-        large = written(members.filter(F.col("size") > limit).withColumn("whole", F.coalesce(2 * F.col("size") > F.col("up"), F.lit(False)) | F.lit(level == depth)))
-        whole = large.filter("whole")
-        first = whole.groupBy("path").agg(F.min("h").alias("b"))
-        edges = edges.unionByName(whole.select("path", F.col("h").alias("a")).join(first, "path").filter("a <> b").select("a", "b"))
-        if level < depth:
-            open_ = large.filter("NOT whole").join(classes.select("h", "tokens"), "h")
-            members = map_slices(open_.select("h", "tokens", "path", "size"), deeper, "h long, path long, up long", 4096)
-    return edges
+            break
+        # each large bucket takes its first member as a pivot. If all are tied to it, it is done; else those that aren't like it go on, to smaller
+        # buckets or, below `depth`, to the next pivot
+        large = written(_merged(members, counts.filter(F.col("size") > limit).select("path"), "path").select("path", "h", "short"))
+        pivots = large.groupBy("path").agg(F.min("h").alias("pivot"), F.min_by("short", "h").alias("pivot_short"))
+        held = _merged(large, pivots, "path").select("path", "h", "pivot", "short", "pivot_short")
+        marked = written(map_slices(held, mark, "path long, h long, pivot long, state byte", 4096))
+        used += [large, marked]
+        found.append(marked.filter((F.col("state") != APART) & (F.col("h") != F.col("pivot"))).select(F.col("h").alias("a"), F.col("pivot").alias("b")))
+        apart = marked.filter(F.col("state") == APART).select("path").distinct()
+        stay = _merged(marked.filter(F.col("state") != LIKE), apart, "path", "left_semi").select("path", "h")
+        stay = _merged(stay, classes.select("h", "n_grams", "short", "tokens"), "h").select("path", "h", "n_grams", "short", "tokens")
+        members = map_slices(stay, lambda split=level < depth: part(split), shape, 4096)
+    found.append(_grouped(reduce(DataFrame.unionByName, leaves), "path", compare, "a long, b long"))
+    out = components(reduce(DataFrame.unionByName, found))
+    forget(*used)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, comp (the smallest node of the component) for the nodes of edges (a, b): least labels with pointer jumping."""
-    # a class that met several others: they are tied to the least of them, and so to each other, which leaves few distinct edges
-    least = F.min("b").over(Window.partitionBy("a"))
+    """node, comp (the smallest node of the component) for the nodes of edges (a, b), as a table: least labels with pointer jumping."""
+    # a node that met several others: they are tied to the least of them, and so to each other, which leaves few distinct edges
+    least = F.min("b").over(Window.partitionBy("a"))  # the larger node of an edge, so never the root of a star
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).select("a", "b", least.alias("m"))
     edges = edges.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").filter("a <> b").distinct()
     # all run from a larger node to a smaller, so that both ways stay distinct
     both = written(edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*"))
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp")))
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("m"))
-        step = written(labels.join(near, "node").select("node", F.col("comp").alias("old"), F.least("comp", "m").alias("comp")))
-        jump = step.select(F.col("node").alias("comp"), F.col("comp").alias("next"))
-        labels = written(step.join(jump, "comp").select("node", "old", F.least("comp", "next").alias("comp")))
-        done = labels.filter("comp <> old").isEmpty()
-        labels = labels.select("node", "comp")
-        if done:
+        near = _merged(both, labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("m"))
+        step = written(_merged(labels, near, "node").select("node", F.least("comp", "m").alias("comp"), (F.col("m") < F.col("comp")).alias("moved")))
+        if step.filter("moved").isEmpty():
+            forget(both, step)
             return labels
+        jump = step.select(F.col("node").alias("comp"), F.col("comp").alias("next"))
+        after = written(_merged(step, jump, "comp").select("node", F.least("comp", "next").alias("comp")))
+        forget(labels, step)
+        labels = after
 
 
-def jaccard_join(docs: DataFrame, n: int = 5, similarity: float = 0.8, recall: float = 0.999, coords: int = COORDS, fan: float = 1.5, limit: int = 128, depth: int = 4, block: int = 128, block_grams: int = 400_000, seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_join(docs: DataFrame, n: int = 5, similarity: float = 0.8, recall: float = 0.999, coords: int = COORDS, fan: float = 1.5, limit: int = 4096, depth: int = 8, block: int = 1024, block_grams: int = 2_000_000, seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: doc_id, tx (hash of its text), class_id (smallest doc_id of the documents it is linked to, by any
     number of steps), n_links (documents of similarity >= `similarity`, itself not counted), n_grams, is_first (whether it
     is the one of its class to keep: the smallest doc_id; of repeated rows with that id all are)."""
+    if not 0 < coords < 256:
+        raise ValueError("coords must be 1 to 255")
     docs = text_frame(docs, id_col, text_col)
     rows = written(sketches(docs, n, coords, seed))
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tx")
-    classes = rows.filter("h IS NOT NULL").groupBy("h").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("copies"), F.max("n_grams").alias("n_grams"))
-    classes = written(classes.select("h", "first", "copies", "n_grams"))
-    firsts = classes.select("h", F.col("first.doc_id").alias("doc_id"), F.col("first.tx").alias("tx"))
-    tokens = written(rows.filter("h IS NOT NULL").select("h", "n_grams", "tokens", "short").dropDuplicates(["h"]))
+    same = [F.any_value(c).alias(c) for c in ("n_grams", "tokens", "short")]  # equal in all of a class
+    held = written(rows.filter("h IS NOT NULL").groupBy("h").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("copies"), *same))
+    classes = held.select("h", "first", "copies", "n_grams")
     runs = runs_for(recall, similarity, coords, fan, seed)
     spread = max(0.05, 6 * (similarity * (1 - similarity) / coords) ** 0.5)
     alike = max(1, int(coords * (similarity - spread)))
-    edges = candidate_edges(tokens, runs, coords, fan, limit, depth, alike, seed, similarity)
-    near = written(components(edges))
-    near = written(near.join(classes.select("h", "copies", "n_grams"), near["node"] == F.col("h")).select("h", "comp", "copies", "n_grams"))
-    sizes = near.groupBy("comp").agg(F.count(F.lit(1)).alias("m"), F.sum("n_grams").alias("grams"))
-    sizes = written(sizes.select("comp", F.greatest(F.ceil(F.col("m") / block), F.ceil(F.col("grams") / block_grams)).cast("int").alias("blocks")).filter("blocks > 1"))
-    held = near.join(sizes, "comp", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("h", F.lit(1)), F.col("blocks")).cast("int"))
-    held = written(held.join(firsts, "h"))
-    # each class goes to the tiles of its block with every block of its component
-    tiles = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tiles = tiles.select("doc_id", "tx", "h", "copies", "block", "other", "blocks", F.xxhash64("comp", F.least("block", "other"), F.greatest("block", "other")).alias("tile"))
-    texts = docs.withColumn("tx", F.xxhash64("text")).alias("d")
-    wanted = held.select("doc_id", "tx", "h").alias("w")
-    texts = texts.join(wanted.hint("merge"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.tx") == F.col("w.tx"))).select("w.h", "d.text")
-    tiles = texts.join(tiles.drop("doc_id", "tx"), "h").select("tile", "h", "copies", "block", "other", "text")
-
-    def check():
-        grams_of = Shingles(n)
-
-        def each(table: pa.Table) -> pa.Table:
-            h, at = np.unique(table.column("h").to_numpy(), return_index=True)  # repeated rows of the first document once
-            table = table.take(pa.array(at))
-            copies, block_ = table.column("copies").to_numpy(), table.column("block").to_numpy()
-            cross = bool((block_ != table.column("other").to_numpy()).any())
-            a, b = similar_pairs([grams_of(t) for t in table.column("text").to_pylist()], similarity)
-            if cross:  # pairs inside one block belong to that block's own tile
-                keep = block_[a] != block_[b]
-                a, b = a[keep], b[keep]
-            links = np.zeros(len(h), np.int64)
-            np.add.at(links, a, copies[b])
-            np.add.at(links, b, copies[a])
-            return pa.table({"h": h, "links": links, "root": h[_union(len(h), a, b)]})
-
-        return each
-
-    found = written(_grouped(tiles, "tile", check, "h long, links long, root long"))
-    linked = written(components(found.filter("h <> root").select(F.col("h").alias("a"), F.col("root").alias("b"))))
-    links = found.groupBy("h").agg(F.sum("links").alias("links"))
-    classes = classes.join(linked.withColumnRenamed("node", "h"), "h", "left").join(links, "h", "left")
-    classes = written(classes.select("h", "first", F.coalesce("comp", "h").alias("comp"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links")))
-    groups = written(classes.groupBy("comp").agg(F.min("first").alias("class_first")))
-    classes = written(classes.select("h", "comp", "n_links").join(groups, "comp").select("h", "class_first", "n_links"))
-    out = rows.select("doc_id", "tx", "n_grams", "h").join(classes, "h", "left")
+    near = candidate_components(held, runs, coords, fan, limit, depth, alike, seed, similarity)
+    found = written(_links(docs, _merged(near.withColumnRenamed("node", "h"), classes, "h"), n, similarity, block, block_grams))
+    links = found.groupBy("h").agg(F.sum("links").alias("links"), F.min("root").alias("root"))
+    classes = _merged(classes, links, "h", "left")
+    comp = F.coalesce("root", "h")
+    parted = found.filter("parted AND h <> root")
+    if not parted.isEmpty():  # what a tile of several shows is a part of a class of links; a component in one tile shows it whole
+        linked = components(parted.select(F.col("h").alias("a"), F.col("root").alias("b")))
+        classes = _merged(classes, linked.withColumnRenamed("node", "h"), "h", "left")
+        comp = F.coalesce("comp", "root", "h")
+    classes = written(classes.select("h", "first", comp.alias("comp"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links")))
+    groups = classes.groupBy("comp").agg(F.min("first").alias("class_first"))
+    classes = _merged(classes.select("h", "comp", "n_links"), groups, "comp").select("h", "class_first", "n_links")
+    out = _merged(rows.select("doc_id", "tx", "n_grams", "h"), classes, "h", "left")
     return out.select(
         "doc_id",
         "tx",
@@ -332,31 +346,150 @@ def jaccard_join(docs: DataFrame, n: int = 5, similarity: float = 0.8, recall: f
     )
 
 
-def similar_pairs(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of places i < j whose sets (sorted, distinct) have a Jaccard similarity of at least `similarity`; exact, by postings."""
-    m = len(sets)
-    if m < 2:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+def _links(docs: DataFrame, near: DataFrame, n: int, similarity: float, block: int, block_grams: int) -> DataFrame:
+    """(h, links, root, parted) of the classes of candidate components (h, comp, first, copies, n_grams), in one row a class, or in several if its
+    component is `parted`: links to be added up, and the first class of those it is linked with.
+
+    A component of one block is compared as a whole. In larger ones every class is held against one of them, the pivot, and
+    goes on as its symmetric difference from it, x ^ p; as x ^ y = (x ^ p) ^ (y ^ p), these and the sizes give the similarity of
+    any two classes exactly, and those of near copies are short. Classes within half the distance of a link of the pivot (`inner`) are all
+    linked to each other, since Jaccard distance is a metric: their links are sums. Pairs with the others are compared in tiles of two blocks."""
+    part = Fraction(similarity).limit_denominator(10**6)
+    near = written(near)
+    centre = F.max_by("h", F.struct("copies", -F.col("h"))).alias("pivot")
+    sizes = near.groupBy("comp").agg(F.count(F.lit(1)).alias("m"), F.sum("n_grams").alias("grams"), centre)
+    sizes = written(sizes.select("comp", F.greatest(F.ceil(F.col("m") / block), F.ceil(F.col("grams") / block_grams)).cast("int").alias("blocks"), "pivot").filter("blocks > 1"))
+    held = _merged(near, sizes, "comp", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    held = held.withColumn("block", F.pmod(F.xxhash64("h", F.lit(1)), F.col("blocks")).cast("int"))
+    # a member goes to its block; the pivot goes to all blocks besides
+    places = F.array(F.struct("block", F.lit(False).alias("centre")))
+    all_ = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(b.alias("block"), F.lit(True).alias("centre")))
+    held = held.withColumn("place", F.explode(F.when(F.col("h").eqNullSafe(F.col("pivot")), F.concat(places, all_)).otherwise(places)))
+    held = held.select(F.col("first.doc_id").alias("doc_id"), F.col("first.tx").alias("tx"), "h", "comp", "copies", "place.centre", (F.col("blocks") > 1).alias("large"), F.xxhash64("comp", "place.block").alias("tile"))
+    held = held.alias("w")
+    texts = docs.withColumn("tx", F.xxhash64("text")).alias("d")
+    texts = _merged(texts, held, F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.tx") == F.col("w.tx"))).select("tile", "h", "comp", "copies", "centre", "large", "text")
+
+    def look():
+        grams_of = Shingles(n)
+
+        def each(table: pa.Table) -> pa.Table:
+            h, at = table.column("h").to_numpy(), table.column("centre").to_numpy()
+            middle = np.flatnonzero(at)[:1]
+            own = np.flatnonzero(~at)
+            h, place = np.unique(h[own], return_index=True)  # repeated rows of the first document once
+            own = own[place]
+            if not len(own):  # a block without members
+                return pa.table({k: pa.array([], t) for k, t in (("h", pa.int64()), ("links", pa.int64()), ("root", pa.int64()), ("comp", pa.int64()), ("copies", pa.int64()), ("size", pa.int64()), ("inner", pa.bool_()), ("apart", pa.binary()))})
+            rest = table.take(pa.array(own))
+            copies, sets = rest.column("copies").to_numpy(), [grams_of(t) for t in rest.column("text").to_pylist()]
+            none = lambda t: pa.nulls(len(h), t)
+            if not table.column("large")[0].as_py():
+                links, root = _weigh(similar(sets, None, similarity), copies)
+                return pa.table({"h": h, "links": links, "root": h[root], "comp": rest.column("comp"), "copies": copies, "size": none(pa.int64()), "inner": none(pa.bool_()), "apart": none(pa.binary())})
+            pivot = grams_of(table.column("text")[int(middle[0])].as_py())
+            apart, inner = [], []
+            for grams in sets:
+                off = np.setxor1d(grams, pivot, assume_unique=True)
+                union = (grams.size + pivot.size + off.size) // 2
+                inner.append(2 * int(off.size) * part.denominator <= (part.denominator - part.numerator) * union)
+                apart.append(off.tobytes())
+            return pa.table({"h": h, "links": none(pa.int64()), "root": none(pa.int64()), "comp": rest.column("comp"), "copies": copies, "size": pa.array([s.size for s in sets], pa.int64()), "inner": pa.array(inner, pa.bool_()), "apart": pa.array(apart, pa.binary())})
+
+        return each
+
+    looked = written(_grouped(texts, "tile", look, "h long, links long, root long, comp long, copies long, size long, inner boolean, apart binary"))
+    links = looked.filter("links IS NOT NULL").select("h", "links", "root", F.lit(False).alias("parted"))
+    if sizes.isEmpty():
+        return links
+    members = looked.filter("links IS NULL").drop("links", "root")
+    blocks = lambda own: F.greatest(F.ceil(F.sum(own) / block), F.ceil(F.sum(F.when(own == 1, F.octet_length("apart") / 8)) / block_grams)).cast("int")
+    inside, outside = F.col("inner").cast("int"), (~F.col("inner")).cast("int")
+    sums = members.groupBy("comp").agg(F.sum(F.when(F.col("inner"), F.col("copies"))).alias("weight"), F.min(F.when(F.col("inner"), F.col("h"))).alias("root"), F.coalesce(blocks(inside), F.lit(0)).alias("ins"), F.coalesce(blocks(outside), F.lit(0)).alias("outs"))
+    members = written(_merged(members, sums, "comp"))
+    sure = members.filter("inner").select("h", (F.col("weight") - F.col("copies")).alias("links"), "root", F.lit(True).alias("parted"))
+    # tiles: an outer block with each outer and each inner block of its component; an inner block with each outer one
+    own = F.pmod(F.xxhash64("h", F.lit(2)), F.when(F.col("inner"), F.col("ins")).otherwise(F.col("outs"))).cast("int")
+    numbers = lambda k: F.when(F.col(k) > 0, F.sequence(F.lit(0), F.col(k) - 1)).otherwise(F.array().cast("array<int>"))
+    to_outer = F.transform(numbers("outs"), lambda j: F.when(F.col("inner"), F.struct(F.lit(1).alias("kind"), j.alias("i"), F.col("own").alias("j"), F.lit(True).alias("second"))).otherwise(F.struct(F.lit(0).alias("kind"), F.least("own", j).alias("i"), F.greatest("own", j).alias("j"), (F.col("own") > j).alias("second"))))
+    to_inner = F.transform(numbers("ins"), lambda j: F.struct(F.lit(1).alias("kind"), F.col("own").alias("i"), j.alias("j"), F.lit(False).alias("second")))
+    tiles = members.withColumn("own", own).withColumn("at", F.explode(F.when(F.col("inner"), to_outer).otherwise(F.concat(to_outer, to_inner))))
+    tiles = tiles.select(F.xxhash64("comp", "at.kind", "at.i", "at.j").alias("tile"), ((F.col("at.kind") == 0) & (F.col("at.i") == F.col("at.j"))).alias("alone"), "at.second", "h", "copies", "size", "apart")
+
+    def check():
+        def each(table: pa.Table) -> pa.Table:
+            h, size, copies = (table.column(k).to_numpy() for k in ("h", "size", "copies"))
+            second = table.column("second").to_numpy()
+            sets = [np.frombuffer(x, np.uint64) for x in table.column("apart").to_pylist()]
+            if table.column("alone")[0].as_py():
+                pairs, order = similar(sets, None, similarity, size), np.arange(len(h))
+            else:
+                a, b = np.flatnonzero(~second), np.flatnonzero(second)
+                order = np.concatenate((a, b))
+                pairs = similar([sets[i] for i in a], [sets[i] for i in b], similarity, size[order])
+            links, root = _weigh(pairs, copies[order])
+            return pa.table({"h": h[order], "links": links, "root": h[order][root]})
+
+        return each
+
+    return links.unionByName(sure).unionByName(_grouped(tiles, "tile", check, "h long, links long, root long").withColumn("parted", F.lit(True)))
+
+
+def _weigh(pairs: tuple[np.ndarray, np.ndarray], copies: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each class the copies that its partners have, and the first member of its component."""
+    a, b = pairs
+    n = len(copies)
+    links = np.bincount(a, copies[b], n) + np.bincount(b, copies[a], n)
+    return links.astype(np.int64), _union(n, a, b)
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndarray:
+    """How many numbers each set of `left` shares with each of `right`, or of `left` itself (above the diagonal). Sets are sorted and
+    distinct. Numbers in many sets are counted by a matrix product, those in few by their pairs."""
+    sets, n = left + (right or []), len(left)
+    low, width = (0, n) if right is None else (n, len(right))
+    out = np.zeros(n * width, np.int64)
     sizes = np.array([s.size for s in sets], np.int64)
-    grams, owner = np.concatenate(sets), np.repeat(np.arange(m), sizes)
+    if not sizes.sum():
+        return out.reshape(n, width)
+    grams, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
     order = np.argsort(grams, kind="stable")  # owners ascend within a gram
     grams, owner = grams[order], owner[order]
     first = np.flatnonzero(np.concatenate(([True], grams[1:] != grams[:-1])))
     shared = np.diff(np.append(first, grams.size))
-    common = np.full((m, m), int((shared == m).sum()), np.int32)
-    if m > 2:
-        two = first[shared == 2]
-        np.add.at(common, (owner[two], owner[two + 1]), 1)
-        some = (shared > 2) & (shared < m)
-        for start, k in zip(first[some].tolist(), shared[some].tolist(), strict=True):
-            own = owner[start : start + k]
-            common[own[:, None], own] += 1
-    common = np.triu(common, 1)
-    a, b = np.nonzero(common)
-    both = common[a, b].astype(np.int64)
+    for k in np.unique(shared[(shared > 1) & (shared < DENSE)]).tolist():
+        at, (i, j) = first[shared == k], np.triu_indices(k, 1)
+        step = max(1, 2_000_000 // i.size)
+        for s in range(0, at.size, step):
+            own = owner[at[s : s + step, None] + np.arange(k)]
+            a, b = own[:, i].ravel(), own[:, j].ravel()
+            if right is not None:
+                cross = (a < n) & (b >= n)
+                a, b = a[cross], b[cross]
+            np.add.at(out, a * width + b - low, 1)
+    out = out.reshape(n, width)
+    many = np.flatnonzero(shared >= DENSE)
+    for s in range(0, many.size, 1024):
+        some = many[s : s + 1024]
+        dense = np.zeros((len(sets), some.size), np.float32)
+        dense[np.concatenate([owner[first[g] : first[g] + shared[g]] for g in some]), np.repeat(np.arange(some.size), shared[some])] = 1
+        out += (dense[:n] @ dense[low:].T).astype(np.int64)
+    return out
+
+
+def similar(left: list[np.ndarray], right: list[np.ndarray] | None, similarity: float, sizes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places i < j (those of `right` follow those of `left`) whose Jaccard similarity is at least `similarity`; exact.
+    The sets are given as they are, or, with the `sizes` of the real ones, as their symmetric differences from one set."""
+    own = np.array([s.size for s in left + (right or [])], np.int64)
+    sizes = own if sizes is None else sizes
+    n, low = len(left), 0 if right is None else len(left)
+    both = overlaps(left, right)
+    total = sizes[:n, None] + sizes[None, low:]
+    apart = own[:n, None] + own[None, low:] - 2 * both
     part = Fraction(similarity).limit_denominator(10**6)
-    keep = both * part.denominator >= (sizes[a] + sizes[b] - both) * part.numerator
-    return a[keep], b[keep]
+    fit = (total - apart) * part.denominator >= (total + apart) * part.numerator
+    a, b = np.nonzero(np.triu(fit, 1) if right is None else fit)
+    return a, b + low
 
 
 def links_plainly(texts: list[str | None], n: int = 5, similarity: float = 0.8) -> list[tuple[int, int]]:
