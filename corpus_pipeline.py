@@ -20,16 +20,17 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that are linked, by any number of steps, the one of smallest doc_id stays; documents without words all stay."""
+    """Of documents that are linked, by any number of steps, the one of smallest doc_id stays, and of repeated rows the one whose columns
+    come first as JSON; documents without words all stay."""
     found = jaccard_join(docs)
     keep = written(found.filter("is_first").groupBy("doc_id", "tx").agg(F.count(F.lit(1)).alias("n"), F.max("n_grams").alias("n_grams")))
     keys = keep.select("doc_id", "tx", ((F.col("n") > 1) & (F.col("n_grams") > 0)).alias("repeated")).alias("k")
     packed = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"].cast("string")).alias("tx"), F.struct(*docs.columns).alias("carried")).alias("d")
-    kept = packed.join(keys, F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d.tx") == F.col("k.tx"))).select("d.doc_id", "d.tx", "carried", "repeated")
+    kept = packed.join(keys.hint("merge"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d.tx") == F.col("k.tx"))).select("d.doc_id", "d.tx", "carried", "repeated")
     if keys.filter("repeated").isEmpty():
         return kept.select("carried.*")
-    once = kept.filter("repeated").dropDuplicates(["doc_id", "tx"])
-    return kept.filter("NOT repeated").unionByName(once).select("carried.*")
+    once = kept.filter("repeated").groupBy("doc_id", "tx").agg(F.min_by("carried", F.to_json("carried")).alias("carried"))
+    return kept.filter("NOT repeated").select("carried").unionByName(once.select("carried")).select("carried.*")
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
