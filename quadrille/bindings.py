@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from .functions import kernel as K
 from .operators import graph, hull, spatial
 from .operators.validate import record_violations
-from .plans import engine
+from .plans import engine, samples
+from .schema import EDGES, POLYGON
 from .security import review
 from .security.settings import CAMPUS_FENCE, Settings
 from .streaming.windows import windowed_rates
@@ -20,7 +21,6 @@ WEEK = MONTH.but(end=1_704_672_000)
 CONCAVE = ((-120.0, -120.0), (120.0, -120.0), (120.0, 120.0), (0.0, 10.0), (-120.0, 120.0))
 BOWTIE = ((0.0, 0.0), (10.0, 10.0), (10.0, 0.0), (0.0, 10.0))
 EPS, MIN_PTS = 20.0, 4
-QUERIES = "vec_id % 50 = 7"
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -84,13 +84,19 @@ def events(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def n_vertices(spark: SparkSession, sf: str) -> int:
+    """Customers are the vertices, numbered from 0."""
+    return int(_table(spark, sf, "customer").agg(F.max("c_custkey")).first()[0]) + 1
+
+
 def road_edges(spark: SparkSession, sf: str) -> DataFrame:
-    o = _table(spark, sf, "orders").select(F.pmod("o_custkey", F.lit(200)).alias("s"), F.pmod(F.col("o_orderkey") * 7919, F.lit(200)).alias("t"), F.floor(F.col("o_totalprice") / 1000 + 0.5).alias("w"), (F.col("o_orderstatus") == "F").alias("f"))
+    n = F.lit(n_vertices(spark, sf))
+    o = _table(spark, sf, "orders").select(F.col("o_custkey").alias("s"), F.pmod(F.col("o_orderkey") * 7919, n).alias("t"), F.floor(F.col("o_totalprice") / 1000 + 0.5).alias("w"), (F.col("o_orderstatus") == "F").alias("f"))
     return o.filter("s <> t").groupBy(F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b")).agg(F.min("w").cast("double").alias("weight"), F.min("f").alias("blocked")).select(F.lit("g").alias("scene"), "a", "b", "weight", "blocked")
 
 
 def road_points(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.range(200).select(F.lit("g").alias("scene"), "id", (F.col("id") % 20).cast("double").alias("x"), F.floor(F.col("id") / 20).cast("double").alias("y"))
+    return spark.range(n_vertices(spark, sf)).select(F.lit("g").alias("scene"), "id", (F.col("id") % 20).cast("double").alias("x"), F.floor(F.col("id") / 20).cast("double").alias("y"))
 
 
 def start(spark: SparkSession) -> DataFrame:
@@ -108,22 +114,22 @@ def polygon(spark: SparkSession, vertices, scene: str = "e") -> DataFrame:
 
 
 def probes(spark: SparkSession, sf: str) -> DataFrame:
-    """Query points beside the data: every 50th vector, moved a little."""
-    return pts_embed(spark, sf).filter("id % 50 = 7").select("scene", "id", (F.col("x") + 1.5).alias("x"), (F.col("y") - 2.5).alias("y"))
+    """Query points beside the data: the vectors whose id is divisible by 100, moved a little."""
+    return pts_embed(spark, sf).filter("id % 100 = 0").select("scene", "id", (F.col("x") + 1.5).alias("x"), (F.col("y") - 2.5).alias("y"))
 
 
 EMBED = "embed AS (SELECT vec_id AS id, embedding[1]::DOUBLE * 1000 AS x, embedding[2]::DOUBLE * 1000 AS y FROM embeddings WHERE embedding IS NOT NULL)"
 PART = "part_ AS (SELECT p_partkey AS id, p_size::DOUBLE AS x, p_retailprice AS y, p_brand AS scene FROM part)"
-PROBES = "probes AS (SELECT id, x + 1.5::DOUBLE AS x, y - 2.5::DOUBLE AS y FROM embed WHERE id % 50 = 7)"
+PROBES = "probes AS (SELECT id, x + 1.5::DOUBLE AS x, y - 2.5::DOUBLE AS y FROM embed WHERE id % 100 = 0)"
 EVENTS = """ev AS (SELECT event_id AS idx, event_id::VARCHAR AS event_id, (epoch_us(ts) // 1000000)::BIGINT AS timestamp, 'user-' || user_id AS user_id, 'device-' || user_id AS device_id,
   20.2961::DOUBLE + ((user_id * 37) % 101 - 50)::DOUBLE * 0.0001::DOUBLE AS latitude, 85.8245::DOUBLE + ((user_id * 53) % 97 - 48)::DOUBLE * 0.0001::DOUBLE AS longitude,
   floor(value * 10::DOUBLE)::BIGINT + 1 AS requests, CASE WHEN event_type = 'error' THEN floor(value * 10::DOUBLE)::BIGINT + 1 ELSE 0 END AS failures,
   CASE event_type WHEN 'error' THEN 'suspicious' WHEN 'signup' THEN 'unknown' ELSE 'benign' END AS label, event_type AS summary FROM events)"""
 SEGS = "segs AS (SELECT s_suppkey AS seg, (s_suppkey % 37)::DOUBLE AS ax, s_acctbal / 100::DOUBLE AS ay, ((s_suppkey * 7) % 41)::DOUBLE AS bx, (s_nationkey * 4)::DOUBLE AS by FROM supplier)"
 ROADS = """roads AS (SELECT least(s, t) AS a, greatest(s, t) AS b, min(w)::DOUBLE AS weight, bool_and(f) AS blocked FROM
-  (SELECT o_custkey % 200 AS s, (o_orderkey * 7919) % 200 AS t, floor(o_totalprice / 1000::DOUBLE + 0.5::DOUBLE) AS w, o_orderstatus = 'F' AS f FROM orders) WHERE s <> t GROUP BY ALL HAVING true),
+  (SELECT o_custkey AS s, (o_orderkey * 7919) % (SELECT max(c_custkey) + 1 FROM customer) AS t, floor(o_totalprice / 1000::DOUBLE + 0.5::DOUBLE) AS w, o_orderstatus = 'F' AS f FROM orders) WHERE s <> t GROUP BY ALL HAVING true),
 steps AS (SELECT a AS u, b AS v, weight FROM roads WHERE NOT blocked UNION ALL SELECT b, a, weight FROM roads WHERE NOT blocked)""".replace("GROUP BY ALL HAVING true", "GROUP BY 1, 2")
-COSTS = "costs AS (SELECT v, min(d) AS cost FROM (WITH RECURSIVE t(r, v, d) AS (SELECT 0, 0::BIGINT, 0::DOUBLE UNION ALL SELECT r + 1, v, min(d) FROM (SELECT r, v, d FROM t UNION ALL SELECT r, steps.v, t.d + weight FROM t JOIN steps ON t.v = steps.u) GROUP BY r, v HAVING r < 30) SELECT v, d FROM t) GROUP BY v)"
+COSTS = "costs AS (SELECT v, min(d) AS cost FROM (WITH RECURSIVE t(r, v, d) AS (SELECT 0, 0::BIGINT, 0::DOUBLE UNION ALL SELECT r + 1, v, min(d) FROM (SELECT r, v, d FROM t UNION ALL SELECT r, steps.v, t.d + weight FROM t JOIN steps ON t.v = steps.u) GROUP BY r, v HAVING r < 60) SELECT v, d FROM t) GROUP BY v)"
 
 
 def micro(x: str) -> str:
@@ -238,10 +244,10 @@ def device_rates(spark, sf):
     return review.device_rates(events(spark, sf), MONTH).select("device_id", "requests", "failures", "n_events", K.micro(F.col("x")).alias("x"), K.micro(F.col("y")).alias("y"))
 
 
-@query(f"WITH {EVENTS}, {sql_selected(WEEK)} SELECT device_id AS name, count(*) AS n, min(idx) AS first, max(idx) AS last, string_agg(idx::VARCHAR, ',' ORDER BY idx) AS events FROM sel GROUP BY device_id")
+@query(f"WITH {EVENTS}, {sql_selected(MONTH)} SELECT device_id AS name, count(*) AS n, min(idx) AS first, max(idx) AS last, string_agg(idx::VARCHAR, ',' ORDER BY idx) AS events FROM sel GROUP BY device_id")
 def feature_view(spark, sf):
     e = F.col("events")
-    return review.feature_view(events(spark, sf), WEEK).select("name", F.size(e).cast("long").alias("n"), F.element_at(e, 1).alias("first"), F.element_at(e, -1).alias("last"), F.array_join(e.cast("array<string>"), ",").alias("events"))
+    return review.feature_view(events(spark, sf), MONTH).select("name", F.size(e).cast("long").alias("n"), F.element_at(e, 1).alias("first"), F.element_at(e, -1).alias("last"), F.array_join(e.cast("array<string>"), ",").alias("events"))
 
 
 @query(f"""WITH {EVENTS} SELECT sum((length(event_id) = 0)::INT)::BIGINT AS bad_names, sum((length(summary) > 512)::INT)::BIGINT AS bad_summary, sum((timestamp < 0)::INT)::BIGINT AS bad_time,
@@ -284,6 +290,18 @@ def polygon_validity(spark, sf):
     return hull.polygon_violations(out)
 
 
+@query(f"""WITH {PART}, v AS (SELECT scene, row_number() OVER (PARTITION BY scene ORDER BY id) - 1 AS seq, x, y, count(*) OVER (PARTITION BY scene) AS n FROM part_),
+e AS (SELECT a.scene, a.seq, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by, a.n FROM v a JOIN v b ON a.scene = b.scene AND b.seq = (a.seq + 1) % a.n),
+crossed AS (SELECT e.scene, count(*) AS crossing FROM e JOIN e f ON e.scene = f.scene AND f.seq - e.seq > 1 AND NOT (e.seq = 0 AND f.seq = e.n - 1) WHERE {sql_meet('e.ax,e.ay', 'e.bx,e.by', 'f.ax,f.ay', 'f.bx,f.by')} GROUP BY 1),
+turned AS (SELECT e.scene, sum(({sql_turn('e.ax,e.ay', 'e.bx,e.by', 'f.bx,f.by')} = 0 AND (e.bx-e.ax)*(f.bx-f.ax)+(e.by-e.ay)*(f.by-f.ay) < 0)::INT)::BIGINT AS folded FROM e JOIN e f ON e.scene = f.scene AND f.seq = (e.seq + 1) % e.n GROUP BY 1),
+sums AS (SELECT e.scene, (count(*) < 3)::BIGINT AS few, sum(((e.bx-e.ax)*(e.bx-e.ax)+(e.by-e.ay)*(e.by-e.ay) < 1e-18)::INT)::BIGINT AS repeated, (abs(sum((e.ax-o.ax)*(e.by-o.ay)-(e.bx-o.ax)*(e.ay-o.ay))) < 1e-9)::BIGINT AS flat FROM e JOIN e o ON e.scene = o.scene AND o.seq = 0 GROUP BY 1)
+SELECT scene, few, repeated, coalesce(folded, 0) AS folded, coalesce(crossing, 0) AS crossing, flat FROM sums LEFT JOIN turned USING (scene) LEFT JOIN crossed USING (scene)""")
+def brand_polygons(spark, sf):
+    """Each brand's parts, in the order of their ids, as a polygon."""
+    ranks = graph.ranked(pts_brand(spark, sf), "id")
+    return hull.polygon_violations(ranks.select("scene", F.col("rank").cast("int").alias("seq"), "x", "y"))
+
+
 @query(f"WITH {PART}, t AS (SELECT a.id, {sql_turn('a.x,a.y', 'b.x,b.y', 'c.x,c.y')} AS turn FROM part_ a JOIN part_ b ON b.id = a.id + 1 JOIN part_ c ON c.id = a.id + 2) SELECT id, turn FROM t")
 def orientation_steps(spark, sf):
     p = pts_part(spark, sf)
@@ -293,7 +311,7 @@ def orientation_steps(spark, sf):
 
 @query(f"WITH {PART} SELECT scene, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1, count(*) AS n FROM part_ GROUP BY scene")
 def bounding_boxes(spark, sf):
-    return pts_brand(spark, sf).groupBy("scene").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"), F.count(F.lit(1)).alias("n"))
+    return spatial.bounding_boxes(pts_brand(spark, sf))
 
 
 @query(f"WITH {PART}, t AS (SELECT id, x, y, least(greatest(((x - 0)*(50 - 0) + (y - 900::DOUBLE)*(1500 - 900::DOUBLE)) / (50*50 + 600*600)::DOUBLE, 0), 1) AS t FROM part_) SELECT id, {micro('sqrt((x-t*50)*(x-t*50)+(y-(900+t*600))*(y-(900+t*600)))')} AS d FROM t")
@@ -317,12 +335,12 @@ def hull_vertices(spark, sf):
 
 @query(f"WITH {SEGS} SELECT s.seg AS i, t.seg AS j FROM segs s JOIN segs t ON s.seg < t.seg WHERE {sql_meet('s.ax,s.ay', 's.bx,s.by', 't.ax,t.ay', 't.bx,t.by')}")
 def segment_collisions(spark, sf):
-    return spatial.segment_collisions(segments(spark, sf), 10.0).select("i", "j")
+    return spatial.segment_collisions(segments(spark, sf)).select("i", "j")
 
 
 @query(f"WITH {SEGS}, m AS (SELECT s.seg AS i, t.seg AS j FROM segs s JOIN segs t ON s.seg < t.seg WHERE {sql_meet('s.ax,s.ay', 's.bx,s.by', 't.ax,t.ay', 't.bx,t.by')}) SELECT seg, count(*) AS n FROM (SELECT i AS seg FROM m UNION ALL SELECT j FROM m) GROUP BY seg")
 def colliding_segments(spark, sf):
-    m = spatial.segment_collisions(segments(spark, sf), 10.0)
+    m = spatial.segment_collisions(segments(spark, sf))
     return m.select(F.explode(F.array("i", "j")).alias("seg")).groupBy("seg").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -409,29 +427,45 @@ def shortest_costs_all(spark, sf):
     return graph.shortest_costs(road_edges(spark, sf), start(spark)).select("id", F.col("cost").cast("long").alias("cost"))
 
 
-def _params(spark, goal=199):
-    return spark.createDataFrame([("g", 0, goal, False)], "scene string, source long, goal long, grid boolean")
+def _params(spark, sf):
+    return spark.createDataFrame([("g", 0, n_vertices(spark, sf) - 1, False)], "scene string, source long, goal long, grid boolean")
+
 
+_GOAL = "(SELECT max(c_custkey) FROM customer)"
 
-@query(f"WITH RECURSIVE {ROADS}, {COSTS} SELECT cost::BIGINT AS cost, 0::BIGINT AS starts_at, 199::BIGINT AS ends_at, true AS sums_up FROM costs WHERE v = 199")
+
+@query(f"WITH RECURSIVE {ROADS}, {COSTS} SELECT cost::BIGINT AS cost, 0::BIGINT AS starts_at, v::BIGINT AS ends_at, true AS sums_up FROM costs WHERE v = {_GOAL}")
 def shortest_path(spark, sf):
     edges = road_edges(spark, sf)
-    route = graph.routes(road_points(spark, sf), edges, _params(spark))
+    route = graph.routes(road_points(spark, sf), edges, _params(spark, sf))
     steps = route.select("scene", "cost", F.posexplode("path").alias("at", "u"), "path").withColumn("v", F.get("path", F.col("at") + 1))
     along = steps.join(graph.directed(edges).groupBy("scene", "u", "v").agg(F.min("weight").alias("weight")), ["scene", "u", "v"]).agg(F.sum("weight").alias("along"))
     return route.join(along).select(F.col("cost").cast("long").alias("cost"), F.element_at("path", 1).alias("starts_at"), F.element_at("path", -1).alias("ends_at"), (F.col("along") == F.col("cost")).alias("sums_up"))
 
 
-@query(f"WITH RECURSIVE {ROADS}, {COSTS} SELECT cost::BIGINT AS cost FROM costs WHERE v = 199")
+@query(f"WITH RECURSIVE {ROADS}, {COSTS} SELECT cost::BIGINT AS cost FROM costs WHERE v = {_GOAL}")
 def astar(spark, sf):
-    return graph.routes(road_points(spark, sf), road_edges(spark, sf), _params(spark), "astar").select(F.col("cost").cast("long").alias("cost"))
+    return graph.routes(road_points(spark, sf), road_edges(spark, sf), _params(spark, sf), "astar").select(F.col("cost").cast("long").alias("cost"))
+
+
+@query(f"WITH RECURSIVE {ROADS}, {COSTS} SELECT cost::BIGINT AS cost, 0::BIGINT AS starts_at, v::BIGINT AS ends_at, true AS sums_up FROM costs WHERE v = {_GOAL}")
+def shortest_path_rows(spark, sf):
+    """The path of a graph of any size, a row a vertex; its steps are edges that sum up to its cost."""
+    edges = road_edges(spark, sf)
+    rows = graph.shortest_paths(edges, _params(spark, sf))
+    after = rows.select("scene", (F.col("step") - 1).alias("step"), F.col("id").alias("v"), F.col("cost").alias("next"))
+    steps = rows.select("scene", "step", F.col("id").alias("u")).join(after, ["scene", "step"])
+    along = steps.join(graph.directed(edges).groupBy("scene", "u", "v").agg(F.min("weight").alias("weight")), ["scene", "u", "v"]).agg(F.sum("weight").alias("along"))
+    ends = rows.groupBy("scene").agg(F.max("cost").alias("cost"), F.min_by("id", "step").alias("starts_at"), F.max_by("id", "step").alias("ends_at"))
+    return ends.join(along).select(F.col("cost").cast("long").alias("cost"), "starts_at", "ends_at", (F.col("along") == F.col("cost")).alias("sums_up"))
 
 
-@query(f"""WITH {ROADS}, p AS (SELECT v, (v % 20)::DOUBLE AS x, (v // 20)::DOUBLE AS y FROM range(200) t(v)), g AS (SELECT x, y FROM p WHERE v = 199),
+@query(f"""WITH {ROADS}, p AS (SELECT v, (v % 20)::DOUBLE AS x, (v // 20)::DOUBLE AS y FROM range((SELECT max(c_custkey) + 1 FROM customer)) t(v)), g AS (SELECT x, y FROM p WHERE v = {_GOAL}),
 h AS (SELECT weight, sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) AS ab, sqrt((a.x-g.x)*(a.x-g.x)+(a.y-g.y)*(a.y-g.y)) AS ag, sqrt((b.x-g.x)*(b.x-g.x)+(b.y-g.y)*(b.y-g.y)) AS bg FROM roads JOIN p a ON a.v = roads.a JOIN p b ON b.v = roads.b, g WHERE NOT blocked)
 SELECT 'g' AS scene, bool_and(weight >= ab AND ag <= weight + bg AND bg <= weight + ag) AS fits FROM h""")
 def heuristic_fits(spark, sf):
-    goal = spark.createDataFrame([("g", 19.0, 9.0)], "scene string, gx double, gy double")
+    last = n_vertices(spark, sf) - 1
+    goal = spark.createDataFrame([("g", float(last % 20), float(last // 20))], "scene string, gx double, gy double")
     return graph.heuristic_fits(road_points(spark, sf), road_edges(spark, sf), goal)
 
 
@@ -444,9 +478,9 @@ def verify_costs(spark, sf):
 # ---- review of events
 
 
-@query(f"{sql_candidates(WEEK)} SELECT event_id, feature_noise, outside, candidate FROM cand")
+@query(f"{sql_candidates(MONTH)} SELECT event_id, feature_noise, outside, candidate FROM cand")
 def review_candidates(spark, sf):
-    return review.candidates(events(spark, sf), WEEK, polygon(spark, CAMPUS_FENCE)).select("event_id", "feature_noise", "outside", "candidate")
+    return review.candidates(events(spark, sf), MONTH, polygon(spark, CAMPUS_FENCE)).select("event_id", "feature_noise", "outside", "candidate")
 
 
 _COUNTS = """SELECT count(*) FILTER (label = 'suspicious' AND candidate) AS tp, count(*) FILTER (label = 'benign' AND candidate) AS fp, count(*) FILTER (label = 'benign' AND NOT candidate) AS tn,
@@ -458,9 +492,9 @@ def candidate_confusion(spark, sf):
     return review.evaluate(events(spark, sf), MONTH, polygon(spark, CAMPUS_FENCE)).select("tp", "fp", "tn", "fn", "unknown", "flagged")
 
 
-@query(f"{sql_candidates(WEEK)}, c AS ({_COUNTS} FROM cand) SELECT {micro('tp / nullif(tp + fp, 0)::DOUBLE')} AS precision, {micro('tp / nullif(tp + fn, 0)::DOUBLE')} AS recall, {micro('fp / nullif(fp + tn, 0)::DOUBLE')} AS false_positive_rate FROM c")
+@query(f"{sql_candidates(MONTH)}, c AS ({_COUNTS} FROM cand) SELECT {micro('tp / nullif(tp + fp, 0)::DOUBLE')} AS precision, {micro('tp / nullif(tp + fn, 0)::DOUBLE')} AS recall, {micro('fp / nullif(fp + tn, 0)::DOUBLE')} AS false_positive_rate FROM c")
 def candidate_ratios(spark, sf):
-    found = review.evaluate(events(spark, sf), WEEK, polygon(spark, CAMPUS_FENCE))
+    found = review.evaluate(events(spark, sf), MONTH, polygon(spark, CAMPUS_FENCE))
     return found.select(*(K.micro(F.col(c)).alias(c) for c in ("precision", "recall", "false_positive_rate")))
 
 
@@ -496,8 +530,104 @@ def sensitivity_sweep(spark, sf):
     return review.sensitivity(events(spark, sf), MONTH).drop("radius")
 
 
-@query(f"""{sql_candidates(WEEK)}, dev AS (SELECT device_id AS name, count(*) AS n_sources, count(*) FILTER (candidate) AS n_candidates, max(outside::INT) = 1 AS outside, max(feature_noise::INT) = 1 AS noise FROM cand JOIN sel USING (idx) GROUP BY 1)
-SELECT name, n_sources, n_candidates, outside, noise FROM dev""")
+def sql_place_labels(name: str, source: str, eps: float, min_pts: int) -> str:
+    """View {name} (id, label) of a view with id, x, y, by its distinct places."""
+    n = name
+    return f"""{n}_p AS (SELECT x, y, min(id) AS id, count(*) AS w FROM {source} GROUP BY 1, 2),
+{n}_n AS (SELECT a.id AS a, b.id AS b, b.w FROM {n}_p a JOIN {n}_p b ON (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y) <= {eps}::DOUBLE*{eps}::DOUBLE),
+{n}_c AS (SELECT a AS id FROM {n}_n GROUP BY 1 HAVING sum(w) >= {min_pts}),
+{n}_l AS (SELECT a, b FROM {n}_n WHERE a IN (FROM {n}_c) AND b IN (FROM {n}_c)),
+{n}_k AS (SELECT a AS id, min(b) AS comp FROM (WITH RECURSIVE r(a, b) AS (SELECT id, id FROM {n}_c UNION SELECT r.a, l.b FROM r JOIN {n}_l l ON r.b = l.a) SELECT * FROM r) GROUP BY 1),
+{n}_r AS (SELECT id, dense_rank() OVER (ORDER BY comp) - 1 AS label FROM {n}_k),
+{n}_b AS (SELECT a AS id, min(label) AS label FROM {n}_n JOIN {n}_r ON b = {n}_r.id WHERE a NOT IN (FROM {n}_c) GROUP BY 1),
+{n}_z AS (SELECT p.x, p.y, coalesce(r.label, b.label, -1)::INTEGER AS label FROM {n}_p p LEFT JOIN {n}_r r USING (id) LEFT JOIN {n}_b b USING (id)),
+{n} AS (SELECT s.id, z.label FROM {source} s JOIN {n}_z z ON s.x = z.x AND s.y = z.y)"""
+
+
+@query(f"""{sql_candidates(MONTH)},
+gp AS (SELECT row_number() OVER (ORDER BY idx) - 1 AS id, idx, event_id AS name, {sql_metres()} FROM sel), {sql_place_labels('gl', 'gp', MONTH.geo_radius, MONTH.min_pts)},
+fp AS (SELECT row_number() OVER (ORDER BY device_id) - 1 AS id, device_id AS name, x, y FROM rates), {sql_place_labels('fl', 'fp', MONTH.feature_radius, MONTH.min_pts)},
+told AS (SELECT 'geo' AS view, gp.id, name, x, y, gl.label AS cluster, idx FROM gp JOIN gl USING (id) UNION ALL SELECT 'feature', fp.id, name, x, y, fl.label, idx FROM fp JOIN fl USING (id) JOIN sel ON device_id = name)
+SELECT view, id, name, {micro('x')} AS x, {micro('y')} AS y, cluster, cluster = -1 AS noise, idx, event_id, label AS truth, candidate, feature_noise, outside AS outside_region FROM told JOIN cand USING (idx)""")
+def evidence_rows(spark, sf):
+    found = review.evidence_rows(events(spark, sf), MONTH, polygon(spark, CAMPUS_FENCE))
+    return found.select("view", "id", "name", K.micro(F.col("x")).alias("x"), K.micro(F.col("y")).alias("y"), "cluster", "noise", "idx", "event_id", "truth", "candidate", "feature_noise", "outside_region")
+
+
+@query(f"""{sql_candidates(MONTH)}, fp AS (SELECT row_number() OVER (ORDER BY device_id) - 1 AS id, device_id AS name, x, y FROM rates), {sql_place_labels('fl', 'fp', MONTH.feature_radius, MONTH.min_pts)},
+dev AS (SELECT device_id AS name, count(*) AS n_sources, count(*) FILTER (candidate) AS n_candidates, max(outside::INT) = 1 AS outside FROM cand JOIN sel USING (idx) GROUP BY 1)
+SELECT id, name, n_sources, n_candidates, outside, fl.label AS cluster, fl.label = -1 AS noise FROM dev JOIN fp USING (name) JOIN fl USING (id)""")
 def evidence_observations(spark, sf):
-    found = review.evidence(events(spark, sf), WEEK, polygon(spark, CAMPUS_FENCE)).filter("view = 'feature'")
-    return found.select("name", F.size("sources").cast("long").alias("n_sources"), F.size(F.filter("sources", lambda s: s["candidate"])).cast("long").alias("n_candidates"), "outside", "noise")
+    found = review.evidence(events(spark, sf), MONTH, polygon(spark, CAMPUS_FENCE)).filter("view = 'feature'")
+    return found.select("id", "name", F.size("sources").cast("long").alias("n_sources"), F.size(F.filter("sources", lambda s: s["candidate"])).cast("long").alias("n_candidates"), "outside", "cluster", "noise")
+
+
+# ---- modes with their checks
+
+
+def brand_frames(spark: SparkSession, sf: str) -> engine.Frames:
+    points = pts_brand(spark, sf)
+    params = points.groupBy("scene").agg(F.avg("x").alias("query_x"), F.lit(1200.0).alias("query_y")).select("scene", F.floor("query_x").alias("query_x"), "query_y", F.lit(8.0).alias("radius"), F.lit(3).alias("min_pts"), F.lit(0).cast("long").alias("source"), F.lit(0).cast("long").alias("goal"), F.lit(False).alias("grid"))
+    ids = points.withColumn("scene_", F.col("scene"))
+    ranked = graph.ranked(ids.drop("scene_"), "id").select("scene", F.col("rank").alias("id"), "x", "y")
+    empty = lambda schema: spark.createDataFrame([], schema)
+    return engine.Frames(ranked, empty(POLYGON), empty(EDGES), params.withColumn("query_x", F.col("query_x").cast("double")))
+
+
+_BRAND_RANKS = f"{PART}, br AS (SELECT scene, row_number() OVER (PARTITION BY scene ORDER BY id) - 1 AS id, x, y FROM part_), bq AS (SELECT scene, floor(avg(x)) AS qx, 1200::DOUBLE AS qy FROM part_ GROUP BY 1)"
+
+
+@query(_HULL.rsplit("SELECT scene, id, count", 1)[0] + "SELECT scene, n::DOUBLE AS value, true AS ok, 'Hull has ' || n || CASE n WHEN 1 THEN ' vertex.' ELSE ' vertices.' END AS summary FROM (SELECT scene, count(DISTINCT a) AS n FROM e GROUP BY 1)")
+def checked_hulls(spark, sf):
+    return engine.execute("hull", brand_frames(spark, sf)).answers.select("scene", "value", "ok", "summary")
+
+
+@query(f"""WITH {_BRAND_RANKS}, r AS (SELECT q.scene, q.id AS i, p.id AS j, {_D2} AS d2 FROM br q JOIN br p ON q.scene = p.scene AND q.id < p.id), k AS (SELECT *, row_number() OVER (PARTITION BY scene ORDER BY d2, i, j) AS n FROM r)
+SELECT scene, {micro('sqrt(d2)')} AS value, i || ',' || j AS answer, true AS ok FROM k WHERE n = 1""")
+def checked_closest_pairs(spark, sf):
+    return engine.execute("closest_pair", brand_frames(spark, sf)).answers.select("scene", K.micro(F.col("value")).alias("value"), F.array_join(F.col("answer").cast("array<string>"), ",").alias("answer"), "ok")
+
+
+@query(f"""WITH {_BRAND_RANKS}, r AS (SELECT scene, id, (x-qx)*(x-qx)+(y-qy)*(y-qy) AS d2, row_number() OVER (PARTITION BY scene ORDER BY (x-qx)*(x-qx)+(y-qy)*(y-qy), id) AS k FROM br JOIN bq USING (scene))
+SELECT scene, {micro('sqrt(d2)')} AS value, id::VARCHAR AS answer, true AS ok FROM r WHERE k = 1""")
+def checked_nearest(spark, sf):
+    return engine.execute("nearest", brand_frames(spark, sf)).answers.select("scene", K.micro(F.col("value")).alias("value"), F.array_join(F.col("answer").cast("array<string>"), ",").alias("answer"), "ok")
+
+
+@query(f"""WITH {_BRAND_RANKS}, r AS (SELECT scene, count(id) AS n, coalesce(string_agg(id::VARCHAR, ',' ORDER BY id), '') AS answer FROM bq LEFT JOIN br USING (scene) WHERE (x-qx)*(x-qx)+(y-qy)*(y-qy) <= 64 GROUP BY 1)
+SELECT scene, coalesce(n, 0)::DOUBLE AS value, coalesce(answer, '') AS answer, true AS ok, coalesce(n, 0) || CASE coalesce(n, 0) WHEN 1 THEN ' point inside radius.' ELSE ' points inside radius.' END AS summary FROM bq LEFT JOIN r USING (scene)""")
+def checked_radius(spark, sf):
+    return engine.execute("radius", brand_frames(spark, sf)).answers.select("scene", "value", F.array_join(F.col("answer").cast("array<string>"), ",").alias("answer"), "ok", "summary")
+
+
+@query(f"WITH RECURSIVE {_BRAND_RANKS}, {sql_dbscan('br', 8.0, 3, 'scene')}, s AS (SELECT scene, max(label) + 1 AS c, count(*) FILTER (label = -1) AS z FROM labels GROUP BY 1) SELECT scene, c::DOUBLE AS value, true AS ok, c || CASE c WHEN 1 THEN ' cluster; ' ELSE ' clusters; ' END || z || CASE z WHEN 1 THEN ' noise point.' ELSE ' noise points.' END AS summary FROM s")
+def checked_clusters(spark, sf):
+    return engine.execute("indexed_dbscan", brand_frames(spark, sf)).answers.select("scene", "value", "ok", "summary")
+
+
+@query(f"WITH {EMBED}, {sql_fence(CONCAVE)} {sql_classes('embed')}")
+def winding_points(spark, sf):
+    return engine.winding(pts_embed(spark, sf), polygon(spark, CONCAVE)).drop("scene")
+
+
+def _samples(spark: SparkSession, mode: str) -> engine.Frames:
+    return engine.Frames.of(spark, {f"{v} {samples.sample_name(mode, v)}": samples.sample(mode, v) for v in range(samples.VARIANTS)})
+
+
+@query("""SELECT * FROM (VALUES ('0 Reference scene', 403434::BIGINT, 9::BIGINT, 5::BIGINT, true), ('1 Campus deliveries', 982884, 24, 21, true), ('2 Warehouse aisles', 966200, 22, 16, true),
+('3 Valley detour', 956556, 17, 15, true), ('4 Island bridges', 1070000, 14, 14, true), ('5 Terrace switchbacks', 861540, 17, 15, true)) t(scene, cost, settled, settled_astar, agree)""")
+def sample_routes(spark, sf):
+    """The published costs (in thousandths) and settled vertices of the built-in road scenes."""
+    frames = _samples(spark, "dijkstra")
+    a, b = engine.execute("dijkstra", frames).answers, engine.execute("astar", frames).answers
+    both = a.join(b.select("scene", F.col("value").alias("other"), F.col("settled").alias("settled_astar"), F.col("ok").alias("fine")), "scene")
+    return both.select("scene", F.round(F.col("value") * 1000).cast("long").alias("cost"), "settled", "settled_astar", (K.same_cost(F.col("value"), F.col("other")) & F.col("ok") & F.col("fine")).alias("agree"))
+
+
+@query("""SELECT * FROM (VALUES ('0 Reference scene', 26::BIGINT, '2 clusters; 2 noise points.', true), ('1 Festival courtyards', 52, '3 clusters; 4 noise points.', true), ('2 Curved sensor swarms', 48, '2 clusters; 4 noise points.', true),
+('3 Mixed-density survey', 52, '2 clusters; 22 noise points.', true), ('4 Lagoon rings', 67, '2 clusters; 3 noise points.', true), ('5 Garden islands', 76, '4 clusters; 4 noise points.', true)) t(scene, points, summary, ok)""")
+def sample_clusters(spark, sf):
+    """The published clusters and noise of the built-in density scenes."""
+    frames = _samples(spark, "indexed_dbscan")
+    n = frames.points.groupBy("scene").agg(F.count(F.lit(1)).alias("points"))
+    return engine.execute("indexed_dbscan", frames).answers.join(n, "scene").select("scene", "points", "summary", "ok")

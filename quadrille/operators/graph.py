@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernel as K
 from ..session import cut
-from .spatial import distinct_points, epsilon_join
+from .spatial import cell
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -28,46 +28,119 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _close(places: DataFrame, eps: float, strategy: str) -> DataFrame:
-    """scene, a, b of places within eps, each with itself."""
-    if strategy == "indexed":
-        return epsilon_join(places, places, eps).select("scene", "a", "b")
-    a = places.select("scene", F.col("id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"))
-    b = places.select("scene", F.col("id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"))
-    return a.join(b, "scene").filter(K.distance2(K.point("a"), K.point("b")) <= eps * eps).select("scene", "a", "b")
+def ranked(frame: DataFrame, key: str) -> DataFrame:
+    """The frame with `rank`, the place of its row from 0 in the order of key among the rows of its scene. Keys are distinct in a scene.
 
+    Rows are dealt by ranges and numbered in each range, so no task holds a scene."""
+    dealt = cut(frame.repartitionByRange("scene", key).withColumn("range", F.spark_partition_id()))
+    sizes = dealt.groupBy("scene", "range").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("scene", "range", (F.sum("n").over(Window.partitionBy("scene").orderBy("range")) - F.col("n")).alias("before"))
+    within = F.row_number().over(Window.partitionBy("scene", "range").orderBy(key)) - 1
+    return dealt.withColumn("within", within).join(before, ["scene", "range"]).withColumn("rank", F.col("before") + F.col("within")).drop("range", "within", "before")
 
-def _cores(places: DataFrame, pairs: DataFrame, min_pts: int) -> DataFrame:
-    degree = pairs.join(places.select("scene", F.col("id").alias("b"), "weight"), ["scene", "b"]).groupBy("scene", F.col("a").alias("id")).agg(F.sum("weight").alias("n"))
-    return degree.filter(F.col("n") >= min_pts).select("scene", "id")
 
+#: The cells that hold all points within eps of a cell's points, and the half of them that comes after it.
+_RING = "transform(sequence(0, 24), k -> struct(int(k div 5 - 2) AS i, int(k % 5 - 2) AS j))"
+_HALF = "transform(sequence(13, 24), k -> struct(int(k div 5 - 2) AS i, int(k % 5 - 2) AS j))"
+_CELL = ["scene", "cx", "cy"]
 
-def noise(points: DataFrame, eps: float, min_pts: int) -> DataFrame:
+
+def _places(points: DataFrame, eps, min_pts) -> DataFrame:
+    """Distinct places with cells in which all are within eps of each other; `dense` cells have min_pts points or more, so all of theirs are cores."""
+    value = lambda v: F.col(v) if isinstance(v, str) else F.lit(v)
+    rows = points.select("scene", "id", "x", "y", value(eps).cast("double").alias("eps"), value(min_pts).cast("long").alias("min_pts"))
+    places = rows.groupBy("scene", "x", "y").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("weight"), F.first("eps").alias("eps"), F.first("min_pts").alias("min_pts"))
+    side = F.col("eps") * F.lit((1 - 1e-6) / 2**0.5)
+    places = places.withColumns({"cx": cell(F.col("x"), side), "cy": cell(F.col("y"), side)})
+    boxes = places.groupBy(*_CELL).agg(F.sum("weight").alias("mass"), F.min("x").alias("lx"), F.max("x").alias("hx"), F.min("y").alias("ly"), F.max("y").alias("hy"))
+    places = places.join(boxes, _CELL)
+    tight = K.distance2(K.point("l"), K.point("h")) <= F.col("eps") * F.col("eps")
+    return cut(places.withColumn("dense", (F.col("mass") >= F.col("min_pts")) & tight).drop("mass", "lx", "hx", "ly", "hy"))
+
+
+def _near(asking: DataFrame, places: DataFrame) -> DataFrame:
+    """Rows of `asking` (with cells, x, y, eps) beside the rows of `places` (tx, ty and others) that are within eps."""
+    ring = asking.withColumn("to", F.explode(F.expr(_RING))).withColumns({"cx": F.col("cx") + F.col("to.i"), "cy": F.col("cy") + F.col("to.j")}).drop("to")
+    return ring.join(places, _CELL).filter(K.distance2(K.point(""), K.point("t")) <= F.col("eps") * F.col("eps"))
+
+
+def _marked(places: DataFrame) -> DataFrame:
+    """The places with `core`. Only those of cells that aren't dense are counted, and a cell has fewer than min_pts of these, so even a crowded
+    cell is met by few."""
+    others = places.select(*_CELL, F.col("x").alias("tx"), F.col("y").alias("ty"), "weight")
+    counts = _near(places.filter("NOT dense").select(*_CELL, "id", "x", "y", "eps"), others).groupBy("scene", "id").agg(F.sum("weight").alias("n"))
+    return cut(places.join(counts, ["scene", "id"], "left").withColumn("core", F.col("dense") | (F.coalesce("n", F.lit(0)) >= F.col("min_pts"))).drop("n", "dense"))
+
+
+def noise(points: DataFrame, eps: float | str, min_pts: int | str) -> DataFrame:
     """scene, id, noise: which points `dbscan` would call noise. That needs no clusters: a point is noise if no core is within eps."""
-    places = cut(distinct_points(points.select("scene", "id", "x", "y")))
-    pairs = cut(_close(places, eps, "indexed"))
-    core = _cores(places, pairs, min_pts).select("scene", F.col("id").alias("b"))
-    held = pairs.join(core, ["scene", "b"], "left_semi").select("scene", F.col("a").alias("id"), F.lit(False).alias("noise")).distinct()
-    at = places.join(held, ["scene", "id"], "left").select("scene", "x", "y", F.coalesce("noise", F.lit(True)).alias("noise"))
+    places = _marked(_places(points, eps, min_pts))
+    cores = places.filter("core").select(*_CELL, F.col("x").alias("tx"), F.col("y").alias("ty"))
+    held = _near(places.filter("NOT core").select(*_CELL, "id", "x", "y", "eps"), cores).select("scene", "id", F.lit(True).alias("held")).distinct()
+    at = places.join(held, ["scene", "id"], "left").select("scene", "x", "y", (~F.col("core") & F.col("held").isNull()).alias("noise"))
     return points.select("scene", "id", "x", "y").join(at, ["scene", "x", "y"]).select("scene", "id", "noise")
 
 
-def dbscan(points: DataFrame, eps: float, min_pts: int, strategy: str = "indexed") -> DataFrame:
-    """scene, id, label (-1 noise), kind (0 noise, 1 border, 2 core).
+def _linked_cells(cores: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes (scene, id, cx, cy): the cells of cores under their smallest core. Edges (scene, a, b) in both directions: cells with cores
+    within eps of each other. Boxes decide most pairs; for the others, cores near the other's box are compared."""
+    cells = cores.groupBy(*_CELL).agg(F.min("id").alias("id"), F.first("eps").alias("eps"), F.min("x").alias("lx"), F.max("x").alias("hx"), F.min("y").alias("ly"), F.max("y").alias("hy"))
+    cells = cut(cells)
+    other = cells.select("scene", F.col("cx").alias("ox"), F.col("cy").alias("oy"), F.col("id").alias("b"), *(F.col(c).alias(f"o{c}") for c in ("lx", "hx", "ly", "hy")))
+    pairs = cells.withColumn("to", F.explode(F.expr(_HALF))).withColumns({"ox": F.col("cx") + F.col("to.i"), "oy": F.col("cy") + F.col("to.j")}).join(other, ["scene", "ox", "oy"])
+    gap = lambda c: F.greatest(F.col(f"ol{c}") - F.col(f"h{c}"), F.col(f"l{c}") - F.col(f"oh{c}"), F.lit(0.0))
+    reach = lambda c: F.greatest(F.col(f"oh{c}") - F.col(f"l{c}"), F.col(f"h{c}") - F.col(f"ol{c}"))
+    limit = F.col("eps") * F.col("eps")
+    pairs = pairs.filter(gap("x") * gap("x") + gap("y") * gap("y") <= limit).withColumn("sure", reach("x") * reach("x") + reach("y") * reach("y") <= limit)
+    pairs = cut(pairs.select("scene", "cx", "cy", "ox", "oy", F.col("id").alias("a"), "b", "eps", "sure", "lx", "ly", "hx", "hy", "olx", "oly", "ohx", "ohy"))
+    here = cores.select(*_CELL, "x", "y")
+    there = cores.select("scene", F.col("cx").alias("ox"), F.col("cy").alias("oy"), F.col("x").alias("tx"), F.col("y").alias("ty"))
+    open_ = pairs.filter("NOT sure").join(here, _CELL).filter(K.box_distance2(K.point(""), K.point("ol"), K.point("oh")) <= limit)
+    open_ = open_.join(there, ["scene", "ox", "oy"]).filter(K.box_distance2(K.point("t"), K.point("l"), K.point("h")) <= limit)
+    met = open_.filter(K.distance2(K.point(""), K.point("t")) <= limit).select("scene", "a", "b").distinct()
+    edges = pairs.filter("sure").select("scene", "a", "b").unionByName(met)
+    both = edges.unionByName(edges.select("scene", F.col("b").alias("a"), F.col("a").alias("b")))
+    return cells.select("scene", "id", "cx", "cy"), both
 
-    The radius is inclusive and a point counts itself. Clusters are numbered by their smallest core id; a border point goes to the lowest-numbered
-    cluster next to it. Points at one place are compared once. `scan` compares all pairs of a scene and is there to check `indexed`.
-    """
-    places = cut(distinct_points(points.select("scene", "id", "x", "y")))
-    pairs = cut(_close(places, eps, strategy))
-    core = cut(_cores(places, pairs, min_pts))
+
+def _scan_labels(points: DataFrame, eps: float | str, min_pts: int | str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Places, numbered cores and border labels by comparing all pairs of places of a scene."""
+    value = lambda v: F.first(v) if isinstance(v, str) else F.first(F.lit(v))
+    places = cut(points.groupBy("scene", "x", "y").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("weight"), value(eps).alias("eps"), value(min_pts).alias("min_pts")))
+    a = places.select("scene", F.col("id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), "eps", "min_pts")
+    b = places.select("scene", F.col("id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), "weight")
+    pairs = cut(a.join(b, "scene").filter(K.distance2(K.point("a"), K.point("b")) <= F.col("eps") * F.col("eps")).select("scene", "a", "b", "weight", "min_pts"))
+    core = cut(pairs.groupBy("scene", F.col("a").alias("id")).agg(F.sum("weight").alias("n"), F.first("min_pts").alias("min_pts")).filter("n >= min_pts").select("scene", "id"))
     ends = core.select("scene", F.col("id").alias("a")), core.select("scene", F.col("id").alias("b"))
     comps = components(core, pairs.join(ends[0], ["scene", "a"], "left_semi").join(ends[1], ["scene", "b"], "left_semi"))
-    # numbers by rank among the components of a scene: one row a component
-    numbers = comps.select("scene", "comp").distinct().withColumn("label", (F.row_number().over(Window.partitionBy("scene").orderBy("comp")) - 1).cast("int"))
-    numbered = cut(comps.join(numbers, ["scene", "comp"]).select("scene", "id", "label"))
-    border = pairs.join(core.select("scene", F.col("id").alias("a")), ["scene", "a"], "left_anti").join(numbered.select("scene", F.col("id").alias("b"), "label"), ["scene", "b"])
-    border = border.groupBy("scene", F.col("a").alias("id")).agg(F.min("label").alias("label"))
+    numbered = cut(_numbered(comps))
+    border = pairs.join(ends[0], ["scene", "a"], "left_anti").join(numbered.select("scene", F.col("id").alias("b"), "label"), ["scene", "b"])
+    return places, numbered, border.groupBy("scene", F.col("a").alias("id")).agg(F.min("label").alias("label"))
+
+
+def _numbered(comps: DataFrame) -> DataFrame:
+    """scene, id, label and other columns but comp: components numbered by their smallest id."""
+    numbers = ranked(comps.select("scene", "comp").distinct(), "comp").select("scene", "comp", F.col("rank").cast("int").alias("label"))
+    return comps.join(numbers, ["scene", "comp"]).drop("comp")
+
+
+def dbscan(points: DataFrame, eps: float | str, min_pts: int | str, strategy: str = "indexed") -> DataFrame:
+    """scene, id, label (-1 noise), kind (0 noise, 1 border, 2 core). eps and min_pts are values or names of columns, the same in all of a scene.
+
+    The radius is inclusive and a point counts itself. Clusters are numbered by their smallest core id; a border point goes to the lowest-numbered
+    cluster next to it. Points at one place are compared once. `indexed` joins cells of side eps / sqrt(2), whose cores are one cluster without
+    being compared, and `scan` compares all pairs of a scene and is there to check it.
+    """
+    if strategy == "scan":
+        places, numbered, border = _scan_labels(points, eps, min_pts)
+    else:
+        places = _marked(_places(points, eps, min_pts))
+        cores = places.filter("core")
+        nodes, edges = _linked_cells(cores)
+        cells = _numbered(components(nodes.select("scene", "id"), edges).join(nodes, ["scene", "id"])).drop("id")
+        numbered = cut(cores.select(*_CELL, "id", F.col("x").alias("tx"), F.col("y").alias("ty")).join(cells, _CELL))
+        border = _near(places.filter("NOT core").select(*_CELL, "id", "x", "y", "eps"), numbered.drop("id")).groupBy("scene", "id").agg(F.min("label").alias("label"))
+        numbered = numbered.select("scene", "id", "label")
     found = numbered.withColumn("kind", F.lit(2)).unionByName(border.withColumn("kind", F.lit(1)))
     at = places.join(found, ["scene", "id"], "left").select("scene", "x", "y", F.coalesce("label", F.lit(-1)).alias("label"), F.coalesce("kind", F.lit(0)).alias("kind"))
     return points.select("scene", "id", "x", "y").join(at, ["scene", "x", "y"]).select("scene", "id", "label", "kind")
@@ -93,6 +166,34 @@ def shortest_costs(edges: DataFrame, sources: DataFrame) -> DataFrame:
             return costs.drop("moved")
 
 
+def predecessors(edges: DataFrame, costs: DataFrame) -> DataFrame:
+    """scene, id, parent: the vertex before each one on a path of least cost; of several the one of least (cost, id). A step of weight 0 leads from the
+    smaller id to the larger, so that parents make no circle; a vertex that only other steps of weight 0 reach has none."""
+    u = costs.select("scene", F.col("id").alias("u"), F.col("cost").alias("cu"))
+    v = costs.select("scene", F.col("id").alias("v"), F.col("cost").alias("cv"))
+    steps = directed(edges).join(u, ["scene", "u"]).join(v, ["scene", "v"])
+    told = steps.filter((F.col("cu") + F.col("weight") == F.col("cv")) & ((F.col("cu") < F.col("cv")) | (F.col("u") < F.col("v"))))
+    return told.groupBy("scene", F.col("v").alias("id")).agg(F.min(F.struct("cu", "u"))["u"].alias("parent"))
+
+
+def shortest_paths(edges: DataFrame, params: DataFrame) -> DataFrame:
+    """scene, step (from 0), id, cost: the vertices from source to goal (params: scene, source, goal) in graphs of any size, by set-based rounds:
+    costs, predecessors, and then ancestors by doubling. A goal that can't be reached has no rows."""
+    costs = cut(shortest_costs(edges, params.select("scene", F.col("source").alias("id"))))
+    sources = params.select("scene", F.col("source").alias("id"))
+    parents = predecessors(edges, costs).join(sources, ["scene", "id"], "left_anti")
+    leaps = [cut(parents)]
+    while not leaps[-1].isEmpty():
+        last = leaps[-1]
+        leaps.append(cut(last.join(last.select("scene", F.col("id").alias("parent"), F.col("parent").alias("next")), ["scene", "parent"]).select("scene", "id", F.col("next").alias("parent"))))
+    found = cut(params.select("scene", F.col("goal").alias("id")).join(costs.select("scene", "id"), ["scene", "id"], "left_semi").withColumn("back", F.lit(0).cast("long")))
+    for k in reversed(range(len(leaps) - 1)):  # an ancestor 2^k steps back, from all that is known so far
+        more = found.join(leaps[k], ["scene", "id"]).select("scene", F.col("parent").alias("id"), (F.col("back") + 2**k).alias("back"))
+        found = cut(found.unionByName(more))
+    length = found.groupBy("scene").agg(F.max("back").alias("length"))
+    return found.join(length, "scene").join(costs, ["scene", "id"]).select("scene", (F.col("length") - F.col("back")).alias("step"), "id", "cost")
+
+
 def heuristic_fits(points: DataFrame, edges: DataFrame, goal: DataFrame, grid: bool = False) -> DataFrame:
     """scene, fits: whether no open edge is shorter than the estimate or breaks its consistency toward the goal (scene, gx, gy)."""
     p = points.select("scene", "id", "x", "y")

@@ -11,6 +11,12 @@ from pyspark.sql import functions as F
 from ..functions import kernel as K
 
 
+#: Parts whose hulls are merged before the last step, and scenes that a task keeps hulls of at a time.
+MERGES, MAX_HELD = 64, 10_000
+#: Polygons up to so many vertices in all are broadcast to the points.
+BROADCAST_VERTICES = 50_000
+
+
 def _turn(a, b, c) -> int:
     value = (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
     length = lambda p, q: ((q[0] - p[0]) ** 2 + (q[1] - p[1]) ** 2) ** 0.5
@@ -40,23 +46,32 @@ def chain(points: list[tuple[float, float, int]]) -> list[tuple[float, float, in
 def convex_hull(points: DataFrame) -> DataFrame:
     """scene, seq, id: vertices counter-clockwise from the smallest (x, y, id).
 
-    The hull of a scene is the hull of its parts' hulls: each batch keeps its own vertices alone, so the last step, one task a scene, sees few points.
+    The hull of a scene is the hull of its parts' hulls: each task keeps the vertices of what it has read alone, then each of MERGES parts of a
+    scene, and so the last step, one task a scene, sees few points.
     """
     schema = "scene string, x double, y double, id long"
+    columns = ["scene", "x", "y", "id"]
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in batches:  # hulls of batches: what is inside one can't be a vertex of the whole
+        held: dict[str, list] = {}  # what is inside the hull of a part can't be a vertex of the whole
+        for f in batches:
             for scene, g in f.groupby("scene", sort=False):
-                kept = chain(list(zip(g.x.tolist(), g.y.tolist(), g.id.tolist())))
-                yield pd.DataFrame([(scene, *p) for p in kept], columns=["scene", "x", "y", "id"])
+                held[scene] = chain(held.get(scene, []) + list(zip(g.x.tolist(), g.y.tolist(), g.id.tolist())))
+            if len(held) > MAX_HELD:
+                yield pd.DataFrame([(s, *p) for s, kept in held.items() for p in kept], columns=columns)
+                held = {}
+        yield pd.DataFrame([(s, *p) for s, kept in held.items() for p in kept], columns=columns)
 
-    small = points.select("scene", "x", "y", "id").mapInPandas(part, schema)
+    small = points.select(*columns).mapInPandas(part, schema).withColumn("part", F.pmod(F.spark_partition_id(), F.lit(MERGES)))
+
+    def merge(g: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(g.scene.iloc[0], *p) for p in chain(list(zip(g.x.tolist(), g.y.tolist(), g.id.tolist())))], columns=columns)
 
     def finish(g: pd.DataFrame) -> pd.DataFrame:
         kept = chain(list(zip(g.x.tolist(), g.y.tolist(), g.id.tolist())))
         return pd.DataFrame([(g.scene.iloc[0], i, p[2]) for i, p in enumerate(kept)], columns=["scene", "seq", "id"])
 
-    return small.groupBy("scene").applyInPandas(finish, "scene string, seq int, id long")
+    return small.groupBy("scene", "part").applyInPandas(merge, schema).groupBy("scene").applyInPandas(finish, "scene string, seq int, id long")
 
 
 def polygon_edges(polygon: DataFrame) -> DataFrame:
@@ -87,9 +102,15 @@ def polygon_violations(polygon: DataFrame) -> DataFrame:
     return sums.join(folded, "scene", "left").join(crossing, "scene", "left").select("scene", "few", "repeated", zero("folded"), zero("crossing"), "flat")
 
 
+def edges_of(polygon: DataFrame) -> DataFrame:
+    """scene, edges (an array); as a broadcast if all polygons together have at most BROADCAST_VERTICES vertices."""
+    edges = polygon_edges(polygon).groupBy("scene").agg(F.collect_list(F.struct("ax", "ay", "bx", "by")).alias("edges"))
+    return F.broadcast(edges) if polygon.limit(BROADCAST_VERTICES + 1).count() <= BROADCAST_VERTICES else edges
+
+
 def point_in_polygon(points: DataFrame, polygon: DataFrame) -> DataFrame:
     """scene, id, cls: -1 outside, 0 on the boundary, 1 inside. A polygon's edges travel as one array to each point of its scene."""
-    edges = polygon_edges(polygon).groupBy("scene").agg(F.collect_list(F.struct("ax", "ay", "bx", "by")).alias("edges"))
+    edges = edges_of(polygon)
     p = K.point("")
     ends = lambda e: ((e["ax"], e["ay"]), (e["bx"], e["by"]))
     on = F.exists("edges", lambda e: K.on_segment(p, *ends(e)))

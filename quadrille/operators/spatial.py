@@ -13,8 +13,8 @@ from ..session import cut
 
 #: Cells are wider than eps by this factor, so that rounding can't part two points that are within eps.
 INFLATE = 1 + 1e-9
-#: Query tables up to so many rows are broadcast; larger ones are joined on cells.
-BROADCAST_QUERIES = 10_000
+#: Up to so many queries meet every point of their scene; more are joined on cells.
+BROADCAST_QUERIES = 128
 
 
 def cell(value: Column, size: Column) -> Column:
@@ -41,9 +41,15 @@ def distinct_points(points: DataFrame) -> DataFrame:
     return points.groupBy("scene", "x", "y").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("weight"))
 
 
-def within_radius(points: DataFrame, queries: DataFrame, radius: float) -> DataFrame:
-    """scene, query, ids (ascending), n for each query point (scene, id, x, y); the radius is inclusive."""
-    found = epsilon_join(queries, points, radius).groupBy("scene", F.col("a").alias("query")).agg(F.array_sort(F.collect_list("b")).alias("ids"))
+def bounding_boxes(points: DataFrame) -> DataFrame:
+    """scene, x0, y0, x1, y1, n."""
+    return points.groupBy("scene").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"), F.count(F.lit(1)).alias("n"))
+
+
+def within_radius(points: DataFrame, queries: DataFrame, radius: float | str) -> DataFrame:
+    """scene, query, ids (ascending), n for each query point (scene, id, x, y); the radius is inclusive. It is a number or a column of both,
+    the same in all of a scene."""
+    found = epsilon_join(queries, points, F.col(radius) if isinstance(radius, str) else radius).groupBy("scene", F.col("a").alias("query")).agg(F.array_sort(F.collect_list("b")).alias("ids"))
     every = queries.select("scene", F.col("id").alias("query"))
     ids = F.coalesce("ids", F.array().cast("array<long>"))
     return every.join(found, ["scene", "query"], "left").select("scene", "query", ids.alias("ids"), F.size(ids).cast("long").alias("n"))
@@ -71,39 +77,39 @@ def nearest(points: DataFrame, queries: DataFrame) -> DataFrame:
         found = best(pairs)
     else:
         box = points.groupBy("scene").agg(F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("side"), F.count(F.lit(1)).alias("n"), F.min("x").alias("x0"), F.min("y").alias("y0"))
-        box = box.select("scene", "x0", "y0", F.greatest(F.col("side") / F.sqrt("n") * 2, F.lit(1e-9)).alias("size"))
-        found, left = None, q
-        for _ in range(40):  # cells double until all queries have a point that is nearer than their ring of cells
-            sized = points.join(F.broadcast(box), "scene").select("scene", "id", "x", "y", cell(F.col("x") - F.col("x0"), F.col("size")).alias("cx"), cell(F.col("y") - F.col("y0"), F.col("size")).alias("cy"))
+        box = cut(box.select("scene", "x0", "y0", F.greatest(F.col("side") / F.sqrt("n") * 2, F.lit(1e-9)).alias("size")))
+        found, left = None, cut(q.join(box, "scene", "left_semi"))
+        while not left.isEmpty():  # cells double until all queries have a point that is nearer than their ring of cells
+            sized = points.join(box, "scene").select("scene", "id", "x", "y", cell(F.col("x") - F.col("x0"), F.col("size")).alias("cx"), cell(F.col("y") - F.col("y0"), F.col("size")).alias("cy"))
             near = F.explode(F.expr("transform(sequence(0, 8), k -> struct(int(k div 3 - 1) AS i, int(k % 3 - 1) AS j))"))
-            asked = left.join(F.broadcast(box), "scene").withColumn("near", near)
+            asked = left.join(box, "scene").withColumn("near", near)
             asked = asked.select("scene", "query", "qx", "qy", "size", (cell(F.col("qx") - F.col("x0"), F.col("size")) + F.col("near.i")).alias("cx"), (cell(F.col("qy") - F.col("y0"), F.col("size")) + F.col("near.j")).alias("cy"))
             hit = asked.join(sized, ["scene", "cx", "cy"]).withColumn("d2", K.distance2(K.point(""), K.point("q"))).groupBy("scene", "query").agg(F.min(F.struct("d2", "id")).alias("best"), F.max("size").alias("size"))
             done = cut(hit.filter(F.col("best.d2") <= F.col("size") * F.col("size")).select("scene", "query", "best"))
             found = done if found is None else found.unionByName(done)
-            left = cut(left.join(done, ["scene", "query"], "left_anti").join(box, "scene", "left_semi"))
-            if left.isEmpty():
-                break
+            left = cut(left.join(done, ["scene", "query"], "left_anti"))
             box = box.withColumn("size", F.col("size") * 2)
-        else:
-            found = found.unionByName(best(points.join(left, "scene").withColumn("d2", K.distance2(K.point(""), K.point("q")))))
+        if found is None:
+            return q.select("scene", "query", F.lit(None).cast("long").alias("id"), F.lit(float("inf")).alias("distance"))
     return q.join(found, ["scene", "query"], "left").select("scene", "query", F.col("best.id").alias("id"), F.coalesce(F.sqrt("best.d2"), F.lit(float("inf"))).alias("distance"))
 
 
 def closest_pair(points: DataFrame) -> DataFrame:
     """scene, i, j, distance of the closest pair, ties to the smallest (i, j); scenes of fewer than two points have no row.
 
-    Points at one place are found by grouping. Else neighbours in (x, y, id) order bound the distance, and a grid of that size finds all pairs within it.
+    Points at one place are found by grouping. Else neighbours in (x, y, id) order within strips bound the distance, and a grid of that size finds all pairs within it.
     """
     same = points.groupBy("scene", "x", "y").agg(F.min("id").alias("i"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     second = points.join(same.select("scene", "x", "y", "i"), ["scene", "x", "y"]).filter("id > i").groupBy("scene", "i").agg(F.min("id").alias("j"))
     zero = second.groupBy("scene").agg(F.min(F.struct(F.lit(0.0).alias("d2"), "i", "j")).alias("best"))
     zero = cut(zero)
     rest = cut(points.join(zero.select("scene"), "scene", "left_anti").select("scene", "id", "x", "y"))
+    loose = rest.groupBy("scene").agg(F.min(F.struct("x", "y", "id")).alias("f"), F.max(F.struct("x", "y", "id")).alias("l"), F.count(F.lit(1)).alias("n"), F.min("y").alias("y0"), F.max("y").alias("y1")).filter("n > 1")
+    loose = cut(loose.withColumn("height", (F.col("y1") - F.col("y0")) / F.sqrt("n")))
+    # strips of about sqrt(n) points each: neighbours within a strip are about as near as a grid of one point a cell has them
+    strips = rest.join(loose.select("scene", "y0", "height"), "scene").withColumn("strip", F.when(F.col("height") > 0, F.floor((F.col("y") - F.col("y0")) / F.col("height"))).otherwise(0))
     order = Window.partitionBy("scene", "strip").orderBy("x", "y", "id")
-    strips = rest.withColumn("strip", F.pmod(F.xxhash64(F.floor("y")), F.lit(64)))  # neighbours within any part bound the distance as well
     step = strips.withColumns({"px": F.lag("x").over(order), "py": F.lag("y").over(order)}).withColumn("d", K.distance(K.point("p"), K.point("")))
-    loose = rest.groupBy("scene").agg(F.min(F.struct("x", "y", "id")).alias("f"), F.max(F.struct("x", "y", "id")).alias("l"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     bound = loose.select("scene", K.distance((F.col("f.x"), F.col("f.y")), (F.col("l.x"), F.col("l.y"))).alias("far")).join(step.groupBy("scene").agg(F.min("d").alias("d")), "scene")
     bound = cut(bound.select("scene", (F.least("d", "far") * F.lit(1 + 1e-12)).alias("eps")))
     sized = rest.join(bound, "scene")
@@ -119,13 +125,26 @@ def segments_of(points: DataFrame) -> DataFrame:
     return p.groupBy("scene", "seg").agg(F.count(F.lit(1)).alias("n"), at(0, "x").alias("ax"), at(0, "y").alias("ay"), at(1, "x").alias("bx"), at(1, "y").alias("by")).filter("n = 2").drop("n")
 
 
-def segment_collisions(segments: DataFrame, size: float) -> DataFrame:
-    """scene, i, j (i < j) of segments that cross, touch or overlap; cells of the given size bring together those whose boxes meet."""
-    slack = 1e-6  # more than the tolerance of the predicate at the coordinates allowed
-    span = lambda low, high: F.sequence(cell(low - slack, F.lit(size)), cell(high + slack, F.lit(size)))
-    boxed = segments.withColumn("cx", F.explode(span(F.least("ax", "bx"), F.greatest("ax", "bx")))).withColumn("cy", F.explode(span(F.least("ay", "by"), F.greatest("ay", "by"))))
-    s = boxed.select("scene", "cx", "cy", F.col("seg").alias("i"), "ax", "ay", "bx", "by")
-    t = boxed.select("scene", "cx", "cy", F.col("seg").alias("j"), F.col("ax").alias("cx_"), F.col("ay").alias("cy_"), F.col("bx").alias("dx"), F.col("by").alias("dy"))
-    met = s.join(t, ["scene", "cx", "cy"]).filter(F.col("i") < F.col("j"))
-    met = met.filter(K.segments_meet(K.point("a"), K.point("b"), (F.col("cx_"), F.col("cy_")), K.point("d")))
-    return met.select("scene", "i", "j").distinct()
+def segment_collisions(segments: DataFrame) -> DataFrame:
+    """scene, i, j (i < j) of segments that cross, touch or overlap.
+
+    The grid has levels, with cells of sides of powers of 4. A segment is at home on the level whose cells are just wider than its box, so it lies
+    in at most four of them, and it is a guest on the wider levels that its scene has. Two segments whose boxes meet are compared once: on the
+    wider of their levels, in the cell that holds the lower corner of what their boxes share.
+    """
+    slack = F.lit(1e-6)  # more than the tolerance of the predicate at the coordinates allowed
+    low = lambda c: F.least(f"a{c}", f"b{c}") - slack
+    high = lambda c: F.greatest(f"a{c}", f"b{c}") + slack
+    s = segments.select("scene", "seg", "ax", "ay", "bx", "by", low("x").alias("x0"), low("y").alias("y0"), high("x").alias("x1"), high("y").alias("y1"))
+    s = s.withColumn("level", F.ceil(F.log2(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))) / 2).cast("int"))
+    levels = s.groupBy("scene").agg(F.collect_set("level").alias("levels"))  # at most some twenty for any coordinates allowed
+    s = s.join(levels, "scene").withColumn("at", F.explode(F.filter("levels", lambda x: x >= F.col("level")))).withColumn("size", F.pow(F.lit(4.0), "at"))
+    span = lambda c: F.explode(F.sequence(cell(F.col(f"{c}0"), F.col("size")), cell(F.col(f"{c}1"), F.col("size"))))
+    s = s.withColumn("cx", span("x")).withColumn("cy", span("y")).withColumn("home", F.col("at") == F.col("level")).drop("levels", "level")
+    on = ["scene", "at", "cx", "cy"]
+    t = s.select(*on, F.col("seg").alias("j"), F.col("home").alias("home_j"), *(F.col(c).alias(f"t{c}") for c in ("ax", "ay", "bx", "by", "x0", "y0", "x1", "y1")))
+    pairs = s.withColumnRenamed("seg", "i").join(t, on)
+    corner = lambda c: cell(F.greatest(f"{c}0", f"t{c}0"), F.col("size")) == F.col(f"c{c}")
+    meet = lambda c: F.greatest(f"{c}0", f"t{c}0") <= F.least(f"{c}1", f"t{c}1")
+    pairs = pairs.filter((F.col("i") < F.col("j")) & (F.col("home") | F.col("home_j")) & corner("x") & corner("y") & meet("x") & meet("y"))
+    return pairs.filter(K.segments_meet(K.point("a"), K.point("b"), K.point("ta"), K.point("tb"))).select("scene", "i", "j")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import kernel as K
-from ..operators.graph import dbscan, noise
+from ..operators.graph import dbscan, noise, ranked
 from ..operators.hull import point_in_polygon
 from ..schema import REVIEWS, VERDICTS
 from ..session import cut
@@ -86,21 +86,24 @@ def evaluate(events: DataFrame, s: Settings, fence: DataFrame | None, reviews: D
 
 
 def sensitivity(events: DataFrame, s: Settings) -> DataFrame:
-    """Eleven rows: noise and changed noise for three radii times three min_pts, and noise for two scalings of both rates."""
-    runs = []
+    """Eleven rows: noise and changed noise for three radii times three min_pts, and noise for two scalings of both rates.
+
+    Devices are summed up once; each run is a scene of its own, with its own scales, radius and min_pts, and all go through one clustering."""
+    runs = [("base", 1.0, s)]
     for factor in (0.75, 1.0, 1.25):
         for delta in (-1, 0, 1):
-            runs.append(("radius", factor, delta, s.but(feature_radius=min(1e7, s.feature_radius * factor), min_pts=min(256, max(1, s.min_pts + delta)))))
+            runs.append(("radius", factor, s.but(feature_radius=min(1e7, s.feature_radius * factor), min_pts=min(256, max(1, s.min_pts + delta)))))
     for factor in (0.75, 1.25):
-        runs.append(("scale", factor, 0, s.but(request_scale=min(1e9, s.request_scale * factor), failure_scale=min(1e9, s.failure_scale * factor))))
-    base = cut(noisy_devices(events, s))
-    out = None
-    for kind, factor, delta, run in runs:
-        both = base.join(noisy_devices(events, run).withColumnRenamed("noise", "new"), "device_id")
-        row = both.agg(F.coalesce(F.sum(F.col("new").cast("long")), F.lit(0)).alias("noise"), F.coalesce(F.sum((F.col("new") != F.col("noise")).cast("long")), F.lit(0)).alias("changed"))
-        row = row.select(F.lit(kind).alias("kind"), F.lit(factor).alias("factor"), F.lit(run.min_pts).alias("min_pts"), F.lit(run.feature_radius).alias("radius"), "noise", F.when(F.lit(kind) == "radius", F.col("changed")).alias("changed"))
-        out = row if out is None else out.unionByName(row)
-    return out
+        runs.append(("scale", factor, s.but(request_scale=min(1e9, s.request_scale * factor), failure_scale=min(1e9, s.failure_scale * factor))))
+    fields = [F.struct(F.lit(f"{k:02d}").alias("scene"), F.lit(kind).alias("kind"), F.lit(factor).alias("factor"), F.lit(r.min_pts).alias("min_pts"), F.lit(r.feature_radius).alias("radius"), F.lit(r.request_scale).alias("a"), F.lit(r.failure_scale).alias("b")) for k, (kind, factor, r) in enumerate(runs)]
+    devices = device_rates(events, s).select(F.xxhash64("device_id").alias("id"), "request_rate", "failure_rate", F.explode(F.array(*fields)).alias("run"))
+    points = cut(devices.select("run.*", "id", (F.col("request_rate") / F.col("run.a")).alias("x"), (F.col("failure_rate") / F.col("run.b")).alias("y")))
+    found = cut(noise(points.select("scene", "id", "x", "y", "radius", "min_pts"), "radius", "min_pts"))
+    base = found.filter("scene = '00'").select("id", F.col("noise").alias("before"))
+    sums = found.join(base, "id").groupBy("scene").agg(F.sum(F.col("noise").cast("long")).alias("noise"), F.sum((F.col("noise") != F.col("before")).cast("long")).alias("changed"))
+    told = events.sparkSession.range(1).select(F.explode(F.array(*fields)).alias("run")).select("run.*").filter("kind <> 'base'").join(sums, "scene", "left")
+    none = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    return told.select("kind", "factor", "min_pts", "radius", none("noise").alias("noise"), F.when(F.col("kind") == "radius", none("changed")).alias("changed"))
 
 
 def no_reviews(spark: SparkSession) -> DataFrame:
@@ -120,18 +123,40 @@ def stray_reviews(reviews: DataFrame, events: DataFrame) -> DataFrame:
     return reviews.join(events.select("event_id"), "event_id", "left_anti")
 
 
-def evidence(events: DataFrame, s: Settings, fence: DataFrame | None, reviews: DataFrame | None = None) -> DataFrame:
-    """view, id, name, x, y, cluster, noise, outside, sources (event_id, truth, candidate, feature_noise, outside_region, review, review_note, reviewed_utc)."""
-    spark = events.sparkSession
-    reviews = no_reviews(spark) if reviews is None else reviews
-    found = cut(candidates(events, s, fence).join(reviews, "event_id", "left"))
-    source = F.struct("idx", "event_id", F.col("label").alias("truth"), "candidate", "feature_noise", F.col("outside").alias("outside_region"), F.coalesce("verdict", F.lit("unreviewed")).alias("review"), F.coalesce("note", F.lit("")).alias("review_note"), F.coalesce("reviewed_utc", F.lit(0)).cast("long").alias("reviewed_utc"))
-    fields = ["event_id", "truth", "candidate", "feature_noise", "outside_region", "review", "review_note", "reviewed_utc"]
+SOURCE = ["event_id", "truth", "candidate", "feature_noise", "outside_region", "review", "review_note", "reviewed_utc"]
+
+
+def observations(events: DataFrame, s: Settings, view: str) -> DataFrame:
+    """id, name, x, y and the rates of a view's points. Ids run from 0: in `geo` in the order of the events, in `feature` in that of the devices' names."""
+    if view == "geo":
+        x, y = K.project(F.col("latitude"), F.col("longitude"), s.lat0, s.lon0)
+        rows = select_events(events, s).select("idx", F.col("event_id").alias("name"), x.alias("x"), y.alias("y"), F.lit(0.0).alias("request_rate"), F.lit(0.0).alias("failure_rate"))
+        return ranked(rows.withColumn("scene", F.lit(view)), "idx").select(F.col("rank").alias("id"), "name", "x", "y", "request_rate", "failure_rate")
+    rows = device_rates(events, s).select(F.col("device_id").alias("name"), "x", "y", "request_rate", "failure_rate")
+    return ranked(rows.withColumn("scene", F.lit(view)), "name").select(F.col("rank").alias("id"), "name", "x", "y", "request_rate", "failure_rate")
+
+
+def evidence_rows(events: DataFrame, s: Settings, fence: DataFrame | None, reviews: DataFrame | None = None) -> DataFrame:
+    """view, id, name, x, y, cluster, kind, noise and the columns of SOURCE with idx: a row for each point of each view and event behind it."""
+    reviews = no_reviews(events.sparkSession) if reviews is None else reviews
+    found = candidates(events, s, fence).join(reviews, "event_id", "left")
+    told = [F.col("label").alias("truth"), "candidate", "feature_noise", F.col("outside").alias("outside_region"), F.coalesce("verdict", F.lit("unreviewed")).alias("review"), F.coalesce("note", F.lit("")).alias("review_note"), F.coalesce("reviewed_utc", F.lit(0)).cast("long").alias("reviewed_utc")]
+    found = cut(found.select("idx", "event_id", "device_id", *told))
     out = None
-    for view, frame, radius in (("geo", geo_view(events, s), s.geo_radius), ("feature", feature_view(events, s), s.feature_radius)):
-        frame = cut(frame.withColumn("id", F.xxhash64("name")))
-        labels = dbscan(frame.select(F.lit(view).alias("scene"), "id", "x", "y"), radius, s.min_pts).select("id", F.col("label").alias("cluster"))
-        lists = frame.select("id", F.explode("events").alias("idx")).join(found, "idx").groupBy("id").agg(F.array_sort(F.collect_list(source)).alias("all"), F.max("outside").alias("outside"))
-        rows = frame.join(labels, "id").join(lists, "id").select(F.lit(view).alias("view"), "id", "name", "x", "y", "cluster", (F.col("cluster") == -1).alias("noise"), "outside", F.transform("all", lambda e: F.struct(*(e[f].alias(f) for f in fields))).alias("sources"))
+    for view, key, radius in (("geo", "event_id", s.geo_radius), ("feature", "device_id", s.feature_radius)):
+        frame = cut(observations(events, s, view))
+        labels = dbscan(frame.select(F.lit(view).alias("scene"), "id", "x", "y"), radius, s.min_pts).select("id", F.col("label").alias("cluster"), "kind")
+        rows = frame.join(labels, "id").join(found.withColumn("name", F.col(key)), "name")
+        rows = rows.select(F.lit(view).alias("view"), "id", "name", "x", "y", "cluster", "kind", (F.col("cluster") == -1).alias("noise"), "idx", *SOURCE)
         out = rows if out is None else out.unionByName(rows)
     return out
+
+
+def evidence(events: DataFrame, s: Settings, fence: DataFrame | None, reviews: DataFrame | None = None) -> DataFrame:
+    """view, id, name, x, y, cluster, noise, outside, sources (structs of SOURCE in the order of the events): evidence_rows as one row a point,
+    for views whose points have few events each."""
+    rows = evidence_rows(events, s, fence, reviews)
+    point = ["view", "id", "name", "x", "y", "cluster", "noise"]
+    sources = F.array_sort(F.collect_list(F.struct("idx", *SOURCE)))
+    rows = rows.groupBy(*point).agg(F.max("outside_region").alias("outside"), sources.alias("all"))
+    return rows.select(*point, "outside", F.transform("all", lambda e: F.struct(*(e[f].alias(f) for f in SOURCE))).alias("sources"))

@@ -29,6 +29,8 @@ def cut(frame: DataFrame) -> DataFrame:
     if folder is None:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         if not known.isDefined():
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quadrille-"))
             known = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = known.get()

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import math
 import re
+from dataclasses import dataclass
+from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernel as K
+from ..operators.graph import ranked
 from ..operators.validate import record_violations, require
 from ..schema import CATALOGUE, CATALOGUE_HEADER, EVENT_HEADER, EVENTS, MAP_HEADER
 
@@ -16,6 +19,23 @@ MAX_BYTES = 8 * 1024 * 1024
 SAFE_FILE = re.compile(r"security_[a-z0-9_.]*\.csv")
 
 
+class EventSource(Protocol):
+    """What events come from: any object that loads them as a frame with the columns of schema.EVENTS."""
+
+    def load(self, spark: SparkSession) -> DataFrame: ...
+
+
+@dataclass(frozen=True)
+class CsvEvents:
+    """Events in a CSV file."""
+
+    path: str
+    strict: bool = True
+
+    def load(self, spark: SparkSession) -> DataFrame:
+        return read_events(spark, self.path, self.strict)
+
+
 class CsvError(ValueError):
     """A malformed file; the message names the row, the header being row 1."""
 
@@ -106,14 +126,16 @@ def parse_events(data: str) -> list[tuple]:
 
 
 def read_events(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
-    """Events with their source row as idx. Strict files are read whole, up to MAX_BYTES; the lenient reader takes any size, in parallel, and
-    numbers rows by file position."""
+    """Events with their source row as idx, from 0. Strict files are read whole, up to MAX_BYTES; the lenient reader takes any size, in parallel, and
+    numbers rows by file and place in it."""
     if strict:
         events = spark.createDataFrame(parse_events(_whole_file(spark, path, MAX_BYTES)), EVENTS)
     else:
         columns = EVENTS.split(", ", 1)[1]
         events = spark.read.schema(columns).csv(path, header=True, escape='"', mode="FAILFAST", enforceSchema=False)
-        events = events.select(F.monotonically_increasing_id().alias("idx"), *events.columns)
+        place = F.struct(F.input_file_name().alias("file"), F.input_file_block_start().alias("start"), F.monotonically_increasing_id().alias("row"))
+        names = events.columns
+        events = ranked(events.select(F.lit("").alias("scene"), place.alias("place"), *names), "place").select(F.col("rank").alias("idx"), *names)
     require(record_violations(events), "events")
     return events
 

@@ -38,7 +38,7 @@ def test_sample_scene(spark):
     pair = spatial.closest_pair(p).first()
     assert (pair.i, pair.j, round(pair.distance, 3)) == (0, 1, 82.462)
     s, _, _ = sample_scene("segments").frames(spark)
-    assert spatial.segment_collisions(spatial.segments_of(s), 50.0).count() == 2
+    assert spatial.segment_collisions(spatial.segments_of(s)).count() == 2
 
 
 @pytest.mark.parametrize("mode", ["dijkstra", "astar"])
