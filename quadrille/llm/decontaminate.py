@@ -2,13 +2,16 @@
 
 Texts are normalised to words: A-Z in lower case, words are runs of [0-9a-z] and of all that isn't ASCII.
 An item's windows are its runs of `window` consecutive words; an item of fewer words, but not none, is one
-window. Windows become strings " w1 w2 ... " and go into one automaton, which reads every normalised
-text once; a space before and after keeps matches at word borders. Matches are marked word by word and
+window. The words of the benchmark are numbered, and a number is written in a fixed number of letters (`BASE` of
+them at each place), so that the automaton has few nodes and its matches stand at word borders. Its patterns are the short
+items and, of the longer ones, the consecutive pieces of half a window: every window holds one of these whole, so each
+text is read once for all of them, and the words on both sides of a match tell exactly which windows it belongs to. A
+benchmark word costs the automaton about one word's letters instead of a window's. Hit words are marked and
 mapped to code points of the original text.
 
-The benchmark goes to the executors in blocks of at most `block_bytes`. A benchmark of more bytes takes
-several passes: each reads the texts again with the next block's automaton, and the marks are united at
-last, so the result is the same for any number of blocks.
+The benchmark goes to the executors in blocks of about `block_bytes`, one at a time: fetched, sent, used and given up. A
+benchmark of more bytes takes several passes: each reads the texts again with the next block's automaton, and the marks are
+united at last, so the result is the same for any number of blocks.
 
 Defined results: null has no words; a document without words isn't contaminated; an item that is null or has
 no words has no window; equal windows of several items count for each of them; items with equal ids are one
@@ -18,7 +21,10 @@ item; windows of an item whose id is null mark words but aren't listed; repeated
 from __future__ import annotations
 
 import re
+import uuid
 from collections import defaultdict
+from collections.abc import Iterator
+from itertools import repeat
 
 import ahocorasick
 import numpy as np
@@ -27,9 +33,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_slices, written
+from .common import forget, map_slices, written
 
-BLOCK_BYTES = 16_000_000
+#: Some 1.4 million words: an automaton of at most 4 million nodes of 40 bytes, and as much again for words and places.
+BLOCK_BYTES = 8_000_000
+#: Letters at each place of a word's number; nodes keep their children in a list, so few.
+BASE = 64
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _TO_WORDS = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 _MARKS = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
@@ -46,47 +55,89 @@ def windows_of(words: list, size: int) -> list[tuple]:
     return [tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))] if words else []
 
 
-def automaton(items: list[tuple[str | None, str | None]], size: int) -> ahocorasick.Automaton | None:
-    """Values: the string's length, its words, the ids of the items that have it."""
-    held: dict[str, tuple[int, set]] = {}
-    for item_id, text in items:
-        for window in windows_of(words_of(text), size):
-            entry = held.setdefault(f" {b' '.join(window).decode('utf-8')} ", (len(window), set()))
-            if item_id is not None:
-                entry[1].add(item_id)
-    if not held:
-        return None
-    out = ahocorasick.Automaton()
-    for key, (n, ids) in held.items():
-        out.add_word(key, (len(key), n, tuple(sorted(ids))))
-    out.make_automaton()
-    return out
-
-
-def scan(words: list[bytes], found: ahocorasick.Automaton) -> tuple[list[tuple[int, int]], set[str]]:
-    """Runs of hit words (first, last) and the ids of the items with an occurring window."""
-    text = f" {b' '.join(words).decode('utf-8')} "
-    spaces, edges, ids = None, None, set()
-    for end, (length, n, items) in found.iter(text):
-        if spaces is None:
-            spaces = np.flatnonzero(np.frombuffer(text.encode("utf-32-le"), np.uint32) == 32)
-            edges = np.zeros(len(words) + 1, np.int64)
-        first = int(np.searchsorted(spaces, end - length + 1))
-        edges[first] += 1
-        edges[first + n] -= 1
-        ids.update(items)
-    if spaces is None:
-        return [], ids
-    step = np.diff(np.concatenate(([0], (np.cumsum(edges)[:-1] > 0).astype(np.int8), [0])))
-    return list(zip(np.flatnonzero(step == 1).tolist(), (np.flatnonzero(step == -1) - 1).tolist(), strict=True)), ids
-
-
-def _blocks(bench: DataFrame, block_bytes: int) -> list[list]:
-    """The benchmark's rows in blocks of bounded size, fetched one block at a time."""
+class Patterns:
+    """The automaton of some items, and what tells the windows of its matches."""
+
+    def __init__(self, items: list[tuple[str | None, str | None]], size: int):
+        self.size, self.piece = size, (size + 1) // 2
+        self.reach = size - self.piece  # words on either side of a piece that a window with it can hold
+        texts = [(item_id, words) for item_id, text in items if (words := words_of(text))]
+        self.numbers = {w: i for i, w in enumerate(dict.fromkeys(w for _, words in texts for w in words), 1)}
+        self.places = 1
+        while BASE**self.places <= len(self.numbers):
+            self.places += 1
+        self.letters = {w: self._spelt(i) for w, i in self.numbers.items()}
+        self.unknown = "\0" * self.places
+        self.owners, starts, line = [], [], [np.full(self.reach, -1, np.int32)]
+        held: dict[str, tuple[int, set, list]] = {}  # words, ids of short items, places of pieces
+        at = self.reach
+        for item_id, words in texts:
+            if len(words) < size:
+                ids = held.setdefault("".join(map(self.letters.__getitem__, words)), (len(words), set(), []))[1]
+                ids.add(item_id)
+                continue
+            self.owners.append(item_id)
+            starts.append(at)
+            line += [np.array([self.numbers[w] for w in words], np.int32), np.full(self.reach, -1, np.int32)]  # no window leaves its item
+            for i in range(0, len(words) - self.piece + 1, self.piece):
+                held.setdefault("".join(map(self.letters.__getitem__, words[i : i + self.piece])), (self.piece, set(), []))[2].append(at + i)
+            at += len(words) + self.reach
+        self.line, self.starts = np.concatenate(line), np.array(starts, np.int64)
+        self.found = ahocorasick.Automaton() if held else None
+        for key, (n, ids, places) in held.items():
+            self.found.add_word(key, (n, frozenset(ids), np.array(places, np.int64)))
+        if held:
+            self.found.make_automaton()
+
+    def _spelt(self, number: int) -> str:
+        out = ""
+        for place in range(self.places):  # other letters at each place, so that matches begin with a word
+            number, digit = divmod(number, BASE)
+            out += chr(0x100 + BASE * place + digit)
+        return out
+
+    def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
+        """Runs of hit words (first, last) and the ids of the items with an occurring window."""
+        if self.found is None or not words:
+            return [], set()
+        text = "".join(map(self.letters.get, words, repeat(self.unknown)))
+        edges, numbers, ids = None, None, set()
+        back, on = np.arange(1, self.reach + 1), np.arange(self.reach)
+        for end, (n, short, places) in self.found.iter(text):
+            first = (end + 1) // self.places - n
+            before = after = -1
+            if short:
+                before, after = 0, 0
+                ids |= short
+            if places.size:
+                if numbers is None:
+                    pad = [-2] * self.reach
+                    numbers = np.array([*pad, *map(self.numbers.get, words, repeat(0)), *pad], np.int32)
+                here = first + self.reach
+                left = np.logical_and.accumulate(self.line[places[:, None] - back] == numbers[here - back], axis=1).sum(axis=1)
+                right = np.logical_and.accumulate(self.line[places[:, None] + n + on] == numbers[here + n + on], axis=1).sum(axis=1)
+                whole = left + n + right >= self.size
+                if whole.any():
+                    before, after = max(before, int(left[whole].max())), max(after, int(right[whole].max()))
+                    ids.update(self.owners[i] for i in set((np.searchsorted(self.starts, places[whole], "right") - 1).tolist()))
+            if before >= 0:
+                if edges is None:
+                    edges = np.zeros(len(words) + 1, np.int64)
+                edges[first - before] += 1
+                edges[first + n + after] -= 1
+        ids.discard(None)
+        if edges is None:
+            return [], ids
+        step = np.diff(np.concatenate(([0], (np.cumsum(edges)[:-1] > 0).astype(np.int8), [0])))
+        return list(zip(np.flatnonzero(step == 1).tolist(), (np.flatnonzero(step == -1) - 1).tolist(), strict=True)), ids
+
+
+def _blocks(bench: DataFrame, block_bytes: int) -> tuple[int, Iterator[list]]:
+    """How many blocks the benchmark's rows make, and the blocks, each fetched when it is asked for."""
     size = int(bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     n = -(-size // block_bytes) or 1
     cut = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
-    return [[(r.item_id, r.text) for r in (bench if n == 1 else bench.filter(cut == k)).collect()] for k in range(n)]
+    return n, ([(r.item_id, r.text) for r in (bench if n == 1 else bench.filter(cut == k)).toLocalIterator()] for k in range(n))
 
 
 _BUILT: dict = {}
@@ -104,22 +155,21 @@ def _joined(text: str, marks: list[dict] | None) -> tuple[int, list[dict]]:
     return sum(b - a + 1 for a, b in runs), [{"start": places[a][0], "end": places[b][1]} for a, b in runs]
 
 
-def _pass(frame: DataFrame, items: list, size: int, last: bool) -> DataFrame:
+def _pass(frame: DataFrame, data, size: int, last: bool) -> DataFrame:
     """Adds one block's marks and ids to those a row has already; the last pass makes the result of them."""
-    data = frame.sparkSession.sparkContext.broadcast(items)  # one block: at most block_bytes of text
+    key = uuid.uuid4().hex
 
     def make():
-        key = (hash(tuple(data.value)), size)
         if key not in _BUILT:  # kept by the worker for its next tasks
             _BUILT.clear()
-            _BUILT[key] = automaton(data.value, size)
+            _BUILT[key] = Patterns(data.value, size)
         found = _BUILT[key]
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             n_words, marks, ids, hits, spans = [], [], [], [], []
             for text, before, old in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
                 words = words_of(text)
-                runs, new = scan(words, found) if found and words else ([], set())
+                runs, new = found.scan(words)
                 n_words.append(len(words))
                 marks.append([*(before or ()), *({"first": a, "last": b} for a, b in runs)])
                 ids.append(sorted({*(old or ()), *new}))
@@ -147,9 +197,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
     bench = benchmark.select(benchmark[item_col].cast("string").alias("item_id"), benchmark[item_text].cast("string").alias("text"))
     extra = [docs[c].alias(f"carry_{i}") for i, c in enumerate(carry or [])]
     frame = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), F.lit(None).cast("array<struct<first:int,last:int>>").alias("marks"), F.lit(None).cast("array<string>").alias("item_ids"), *extra)
-    blocks = _blocks(bench, block_bytes)
+    n, blocks = _blocks(bench, block_bytes)
+    before = None
     for k, items in enumerate(blocks):
-        frame = _pass(written(frame) if k else frame, items, window, k == len(blocks) - 1)
+        data = frame.sparkSession.sparkContext.broadcast(items)  # one block: about block_bytes of text
+        frame = _pass(frame, data, window, k == n - 1)
+        if k < n - 1:
+            frame = written(frame)
+            data.destroy()
+            if before is not None:
+                forget(before)
+            before = frame
     back = [F.struct(*(F.col(f"carry_{i}").alias(c) for i, c in enumerate(carry))).alias("carried")] if carry else []
     return frame.select("doc_id", "n_words", "n_hit", "item_ids", "spans", ((F.col("n_hit") > 0) & (F.lit(share) * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), *back)
 
