@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_slices
+from .common import map_slices, written
 
 MIN_PAGES, MIN_SHARE = 8, 0.1
 #: Template subtrees up to this number are broadcast (8 bytes each); more are joined to their pages.
@@ -55,6 +55,9 @@ THREADS = frozenset("comment comments commentlist respond replies reply discussi
 #: Words of an article's class or id that make it a teaser of another page.
 TEASERS = frozenset("card cards teaser teasers tile preview promo related recommended".split())
 _KEPT = frozenset(("html", "body", "article", "main"))
+#: Elements of the text itself: their ids are often made of their words, so only a class that is an advert's whole word says anything against them.
+SAID = frozenset("h1 h2 h3 h4 h5 h6 hgroup p blockquote pre code em strong b i a dt dd th td tr caption figcaption".split())
+ADVERTS = frozenset("ad ads advert adverts advertisement advertising sponsored promo".split())
 
 
 def _said(names: str, words: frozenset) -> frozenset:
@@ -83,7 +86,7 @@ class Node:
                 got.setdefault(m[1].lower(), entities.unescape(m[2] or m[3] or m[4] or ""))
             self.mark = f"{got.get('class', '')}|{got.get('id', '')}|{got.get('role', '')}".lower()
             names = f"{got.get('class', '')} {got.get('id', '')}"
-            words = _said(names, WORDS) if tag not in _KEPT else _said(names, NO_ARTICLE) if tag == "article" else ()
+            words = ADVERTS & set(got.get("class", "").lower().split()) if tag in SAID else _said(names, WORDS) if tag not in _KEPT else _said(names, NO_ARTICLE) if tag == "article" else ()
             if "hidden" in got or got.get("aria-hidden") == "true" or got.get("role", "").lower() in ROLES - {"form"}:
                 self.drop, self.most = True, 0.0
             elif (words or got.get("role", "").lower() == "form") and not self.drop:
@@ -378,15 +381,13 @@ def template_keys(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float
 
     seen = map_slices(pages, make, "host long, key long, digest long", 128).distinct()
     counts = seen.groupBy("host", "key").agg(F.count(F.lit(1)).alias("n"))
-    often = counts.filter((F.col("n") >= min_pages) | (F.col("key") == 0))
+    often = written(counts.filter((F.col("n") >= min_pages) | (F.col("key") == 0)))  # read twice below, but pages are parsed once for it
     totals = often.filter("key = 0").select("host", F.col("n").alias("pages"))
     return often.filter("key <> 0").join(totals, "host").filter((F.col("n") >= min_pages) & ((F.col("key") % 2 != 0) | (F.col("n") >= min_share * F.col("pages")))).select("key", "host")
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """page_id, url, text of every row."""
-    from .common import written
-
     rows = pages.select(pages[id_col].cast("long").alias("page_id"), pages[url_col].cast("string").alias("url"), pages[html_col].cast("string").alias("html"))
     keys = written(template_keys(rows, min_pages, min_share))
     n = keys.count()
