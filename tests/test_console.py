@@ -271,6 +271,23 @@ def test_paths_by_rounds(spark):
     assert want.pop("cut") == [] and got == want
 
 
+@pytest.mark.parametrize("most", [0, 30, 10**6])
+def test_components(spark, monkeypatch, most):
+    """Long chains, small groups and single nodes, by rounds alone, by rounds and a last task, and by one task a scene."""
+    monkeypatch.setattr(graph, "LOCAL_EDGES", most)
+    rng = random.Random(1)
+    order = rng.sample(range(400), 400)
+    edges = [("s", order[i], order[i + 1]) for i in range(299)] + [("s", a, b) for a, b in ((rng.randrange(400), rng.randrange(400)) for _ in range(9)) if a != b] + [("t", i, i + 1) for i in range(0, 49, 3)]
+    nodes = [("s", i) for i in range(400)] + [("t", i) for i in range(50)]
+    root = {x: x for x in nodes}
+    for s, a, b in edges:
+        low, high = sorted((root[s, a], root[s, b]))
+        root = {k: low if v == high else v for k, v in root.items()}
+    both = spark.createDataFrame(edges + [(s, b, a) for s, a, b in edges], "scene string, a long, b long")
+    got = graph.components(spark.createDataFrame(nodes, "scene string, id long"), both).collect()
+    assert {(r.scene, r.id): r.comp for r in got} == {x: v[1] for x, v in root.items()}
+
+
 def test_ranked(spark):
     rows = spark.range(1000).select((F.col("id") % 3).cast("string").alias("scene"), F.xxhash64("id").alias("key"))
     got = graph.ranked(rows, "key").collect()
@@ -291,6 +308,22 @@ def test_hull_of_many_batches(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_sql_functions(spark):
+    from quadrille.functions.sql import register
+
+    assert "planar_segments_meet" in register(spark)
+    rng = random.Random(6)
+    rows = [tuple(float(rng.randrange(5)) for _ in range(8)) for _ in range(300)]
+    names = [f"{p}{c}" for p in "abcd" for c in "xy"]
+    spark.createDataFrame(rows, names).createOrReplaceTempView("four_points")
+    abcd, abc, ab = (", ".join(names[:n]) for n in (8, 6, 4))
+    frame = spark.sql(f"SELECT *, planar_segments_meet({abcd}) AS meet, planar_orientation({abc}) AS turn, planar_distance2({ab}) AS d2, planar_east(ax, 20.0D, 85.0D) AS east FROM four_points")
+    a, b, c, d = (K.point(p) for p in "abcd")
+    east, _ = K.project(F.lit(0.0), F.col("ax"), 20.0, 85.0)
+    same = (F.col("meet") == K.segments_meet(a, b, c, d)) & (F.col("turn") == K.orientation(a, b, c)) & (F.col("d2") == K.distance2(a, b)) & (F.abs(F.col("east") - east) < 1e-6)
+    assert frame.filter(~same).count() == 0 and 0 < frame.filter("meet").count() < 300
+
+
 def test_publisher_takes_all(tmp_path):
     p = Publisher()
     for name in "ab":
