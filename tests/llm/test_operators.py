@@ -117,9 +117,27 @@ def test_decontaminate(spark, odd, empty, block_bytes):
         inside = [w for s in r.spans for w in decontaminate.words_of(t[s.start : s.end])]
         assert len(inside) == hits
     assert decontaminate.decontaminate(empty, bench).count() == 0
+    some = spark.createDataFrame([("7", "tab new line two three"), ("8", "the the the"), ("8", "日本語 テキスト")], "item_id string, text string")
+    held = sorted((r.doc_id or -1, r.n_hit, r.item_ids) for r in decontaminate.decontaminate(odd, some, block_bytes=block_bytes).collect())
+    told = [(a, b) for a, b in ((r.item_id, r.text) for r in some.collect())]
+    assert held == sorted((r.doc_id or -1, *decontaminate.hits_plainly(r.text, told)[1:]) for r in odd.collect())
     assert {r.n_hit for r in decontaminate.decontaminate(odd, spark.createDataFrame([], "item_id string, text string")).collect()} == {0}
 
 
+@pytest.mark.parametrize("size", [1, 2, 5, 13])
+def test_patterns_find_all_windows(size):
+    rng = random.Random(size)
+    words = lambda n, of=6: " ".join(f"w{rng.randrange(of)}" for _ in range(n))
+    items = [(str(i), words(rng.randrange(30))) for i in range(12)] + [("x", "w0 w0 w0 w0 w0 w0 w0 w0 w0 w0 w0 w0 w0 w0 w0"), ("y", None)]
+    found = decontaminate.Patterns(items, size)
+    for _ in range(60):
+        k = rng.randrange(12)
+        text = f"{words(rng.randrange(9), 8)} {' '.join((items[k][1]).split()[rng.randrange(5) :])} {words(rng.randrange(20), 7)}"
+        runs, ids = found.scan(decontaminate.words_of(text))
+        n, hits, named = decontaminate.hits_plainly(text, items, size)
+        assert (sum(b - a + 1 for a, b in runs), sorted(ids)) == (hits, named)
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_against_sql(spark, name):
     folder = "/root/testdata/sf0.001"
@@ -145,6 +163,8 @@ def test_licenses(spark, odd, empty):
     assert got[4] == ([], ["CC-BY-NC-4.0", "MIT"], 2)
     assert all(got[i] == ([], [], 0) for i in (5, 6, 7, 8))
     assert licenses.scan_licenses(odd).count() == odd.count() and licenses.scan_licenses(empty).count() == 0
+    twice = licenses.scan_licenses(frame.unionByName(frame)).collect()
+    assert Counter((r.doc_id, tuple(r.whole), tuple(r.licenses), r.n_notices) for r in twice) == Counter({(i, tuple(a), tuple(b), c): 2 for i, (a, b, c) in got.items()})
     none = spark.createDataFrame([(None, "x"), ("y", None), ("z", "!!")], "license string, text string")
     assert {r.n_notices for r in licenses.scan_licenses(odd, none).collect()} == {0}
 
@@ -220,6 +240,21 @@ def test_shard(spark, rows):
     assert max(sizes) - min(sizes) <= 1
 
 
+def test_shard_of_odd_rows(spark, odd):
+    """Null ids and texts, repeated rows and very long texts are rows like others; the same rows give the same shards."""
+    long = spark.createDataFrame([(90, "é" * 300_000, None, None, 0, "", "")], SCHEMA)
+    frame = odd.unionByName(long).coalesce(1)
+    rows = shard.shard_rows(frame, shards=3).collect()
+    want = Counter((r.doc_id, len((r.text or "").encode()) + 8, zlib.crc32((r.text or "").encode())) for r in frame.collect())
+    assert Counter((r.doc_id, r["size"], r.text_crc32) for r in rows) == want
+    sizes = Counter(r.shard for r in rows)
+    assert max(sizes.values()) - min(sizes.values()) <= 1
+    assert sorted((r.shard, r.slot) for r in rows) == [(s, i) for s in sorted(sizes) for i in range(sizes[s])]
+    again = shard.shard_rows(frame, shards=3).collect()
+    key = lambda r: (r.shard, r.slot, r["size"], r.text_crc32)
+    assert sorted(map(key, again)) == sorted(map(key, rows))
+
+
 def test_shard_matrix_and_uniformity(spark, monkeypatch):
     rng = np.random.default_rng(3)
     counts = rng.integers(0, 50, 40).tolist()
@@ -228,6 +263,17 @@ def test_shard_matrix_and_uniformity(spark, monkeypatch):
     assert (matrix.sum(1) == counts).all() and (matrix.sum(0) == sizes).all()
     big = shard._line(np.random.default_rng(0), np.array([2 * 10**9, 10**9]), 30_000)
     assert big.sum() == 30_000 and abs(big[0] - 20_000) < 500
+    rng, monkey = np.random.default_rng(5), [(40, 60, 30), (5, 95, 50), (300, 700, 400), (1, 99, 3)]
+    for good, bad, n in monkey:  # by rejection, against numpy's own
+        with monkeypatch.context() as m:
+            m.setattr(shard, "NUMPY_BOUND", 0)
+            drawn = [shard.hypergeometric(rng, good, bad, n) for _ in range(4000)]
+        own = rng.hypergeometric(good, bad, n, 200_000)
+        assert abs(np.mean(drawn) - own.mean()) < 5 * own.std() / 4000**0.5 and abs(np.std(drawn) - own.std()) < 0.06 * own.std() + 0.01
+        low = np.bincount(drawn, minlength=n + 1)[: n + 1] / 4000 - np.bincount(own, minlength=n + 1)[: n + 1] / 200_000
+        assert np.abs(low).max() < 0.035
+    many = shard.communication_matrix([5 * 10**9] * 20, shard.shard_sizes(10**11, 24), 3)
+    assert (many.sum(1) == 5 * 10**9).all() and (many.sum(0) == shard.shard_sizes(10**11, 24)).all()
     monkeypatch.setattr(shard, "ROWS_PER_PART", 10)  # many partitions and blocks
     got = shard.shard_rows(spark.range(2400).select(F.col("id").alias("doc_id"), F.lit("same").alias("text")), seed=4).collect()
     per = defaultdict(list)
@@ -275,6 +321,52 @@ def test_quality_against_plain_sums(spark):
     assert abs(lonely - world) < abs(1 - world)
 
 
+@pytest.mark.parametrize("folder", ["sf0.001", "sf0.01"])
+def test_quality_against_plain_posteriors(spark, folder):
+    """The same fit, and every posterior from sums in Python, by the formulas of the docstring."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/{folder}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.fit_classifier(docs, labels)
+    rows = [(r.doc_id, r.source, r.lang, float(model.evidence(np.array([quality.text_stats(r.text)]))[0])) for r in docs.collect()]
+    logit = lambda p: math.log(p / (1 - p))
+    odds = lambda x: 1 / (1 + math.exp(-x))
+    base = odds(model.prior)
+    sites = {"host": defaultdict(list), "path": defaultdict(list)}
+    for _, host, path, e in rows:
+        sites["host"][host].append(odds(e + model.prior))
+        sites["path"][host, path].append(odds(e + model.prior))
+    world = (sum(map(sum, sites["host"].values())) + base) / (len(rows) + 1)
+
+    def strength(groups, prior):
+        n = sum(map(len, groups.values()))
+        between = sum(len(g) * (np.mean(g) - prior(k)) ** 2 for k, g in groups.items())
+        chance = sum(len(g) * np.var(g) for g in groups.values()) / n
+        var = sum(len(g) * prior(k) * (1 - prior(k)) for k, g in groups.items()) / n
+        tau2 = max((between - len(groups) * chance) / n, 1e-6)
+        return min(max(var / tau2 - 1, 1.0), 1e6)
+
+    k = strength(sites["host"], lambda _: world)
+    hosts = {h: (sum(g) + k * world) / (len(g) + k) for h, g in sites["host"].items()}
+    k = strength(sites["path"], lambda key: hosts[key[0]])
+    paths = {key: (sum(g) + k * hosts[key[0]]) / (len(g) + k) for key, g in sites["path"].items()}
+    got = {r.doc_id: r for r in quality.score_quality(docs, labels).collect()}
+    for doc_id, host, path, e in rows:
+        r, inner = got[doc_id], min(max(paths[host, path], 1e-6), 1 - 1e-6)
+        want = (e, hosts[host], paths[host, path], odds(e + logit(inner)))
+        assert np.allclose((r.evidence, r.host_prior, r.path_prior, r.posterior), want, rtol=1e-6, atol=1e-9) and r.keep == (r.posterior >= 0.5)
+
+
+def test_quality_of_odd_rows(spark, odd):
+    """Null, blank and very long texts: those without words have equal evidence; ties at the threshold are kept."""
+    labels = spark.createDataFrame([(i, i % 2) for i in range(5, 12)], "doc_id long, quality int")
+    long = spark.createDataFrame([(50, "word " * 200_000, None, None, 0, "", ""), (51, None, "", "", 0, "", "")], SCHEMA)
+    rows = quality.score_quality(odd.unionByName(long), labels).collect()
+    assert len(rows) == odd.count() + 2 and len({r.evidence for r in rows if r.doc_id in (0, 1, 51)}) == 1
+    assert len({(r.evidence, r.posterior) for r in rows if r.doc_id == 4}) <= 2  # one row of three has another source
+    assert all(math.isfinite(r.posterior) and r.keep == (r.posterior >= 0.5) for r in rows)
+    edge = next(r for r in rows if r.doc_id == 50).posterior
+    assert next(r for r in quality.score_quality(odd.unionByName(long), labels, threshold=edge).collect() if r.doc_id == 50).keep
+
+
 def plain_top(rows, k, every):
     ok = [(u, i, [math.floor(256 * float(x)) for x in v]) for u, (i, v) in enumerate(rows) if v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
@@ -298,45 +390,77 @@ def test_topk(spark, monkeypatch):
     assert topk.top_k(frame.limit(0)).count() == 0
 
 
+def test_topk_of_many_queries_is_one_plan(spark):
+    """Over a hundred groups of queries: dealt to tiles by one plan, without a loop on the driver."""
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(500)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = topk.top_k(frame, every=1, group_bytes=64 * 5)  # 500 queries in 100 groups of about 5
+    assert found._jdf.queryExecution().toString().count("Union") == 0
+    assert Counter((r.query_id, r["rank"], r.vec_id, r.score) for r in found.collect()) == Counter((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(frame, every=1).collect())
+
+
 def plain_losses(texts, target, order, mu):
     counts = [defaultdict(int), defaultdict(int)]
-    for t, f in zip(texts, target):
+    own = [defaultdict(int) for _ in texts]
+    tokens = [0, 0]
+    for t, f, mine in zip(texts, target, own):
         b = b"\0" * (order - 1) + t + b"\0"
+        for k in range(2 if f else 1):
+            tokens[k] += len(t) + 1
         for i in range(order - 1, len(b)):
             for k in range(1, order + 1):
-                for c in counts if f else counts[:1]:
+                for c in [*(counts if f else counts[:1]), mine]:
                     c["g", b[i - k + 1 : i + 1]] += 1
                     c["h", k, b[i - k + 1 : i]] += 1
-    out = []
-    for t in texts:
+    ratio, out = tokens[0] / tokens[1] if tokens[1] else 1, []
+    for t, f, mine in zip(texts, target, own):
         b, sums = b"\0" * (order - 1) + t + b"\0", []
-        for c in counts:
+        for c, r, less in ((counts[0], ratio, {}), (counts[1], 1, mine if f else {})):
             loss = 0
             for i in range(order - 1, len(b)):
                 p = 1 / 256
                 for k in range(1, order + 1):
-                    p = (c["g", b[i - k + 1 : i + 1]] + mu * p) / (c["h", k, b[i - k + 1 : i]] + mu)
+                    n = lambda key: (c[key] - less.get(key, 0)) / r
+                    p = (n(("g", b[i - k + 1 : i + 1])) + mu * p) / (n(("h", k, b[i - k + 1 : i])) + mu)
                 loss -= math.log2(p)
             sums.append(loss / (len(t) + 1))
         out.append((sums[1], sums[0]))
     return out
 
 
-@pytest.mark.parametrize("order,part_bytes", [(5, 10**6), (3, 40), (1, 100)])
+@pytest.mark.parametrize("order,part_bytes", [(6, 10**6), (5, 10**6), (3, 40), (2, 60), (1, 100)])
 def test_lm_score(spark, empty, order, part_bytes):
     texts = ["the cat sat", "the cat ran", "zzz qqq", "", None, "naïve cat", "the cat sat", "x" * 300]
     labels = spark.createDataFrame([(0, 1), (1, 1), (1, 0), (2, 0), (None, 1), (3, None)], "doc_id long, quality int")
-    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("target", F.lit("x"))
-    got = {r.doc_id: r for r in lm_score.score_documents(frame, labels, order=order, part_bytes=part_bytes).collect()}
-    want = plain_losses([(t or "").encode() for t in texts], [i in (0, 1) for i in range(len(texts))], order, 4.0)
-    for i, (t, b) in enumerate(want):
-        assert got[i].n_tokens == len((texts[i] or "").encode()) + 1
-        assert math.isclose(got[i].loss_target, t, rel_tol=1e-9) and math.isclose(got[i].loss_background, b, rel_tol=1e-9)
-        assert math.isclose(got[i].score, t - b, rel_tol=1e-6, abs_tol=1e-9)
-    assert got[0].score < got[2].score
+    rows = [*enumerate(texts), (None, "the cat sat"), (1, "the cat ran"), (1, "the cat ran")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("target", F.lit("x")).withColumn("row", F.lit("y"))
+    got = lm_score.score_documents(frame, labels, order=order, part_bytes=part_bytes).collect()
+    want = plain_losses([(t or "").encode() for _, t in rows], [i in (0, 1) for i, _ in rows], order, 4.0)
+    plain = sorted((-1 if i is None else i, len((x or "").encode()) + 1, t, b) for (i, x), (t, b) in zip(rows, want))
+    assert len(got) == len(rows)
+    for r, (i, n, t, b) in zip(sorted(got, key=lambda r: (-1 if r.doc_id is None else r.doc_id, r.n_tokens)), plain):
+        assert (-1 if r.doc_id is None else r.doc_id, r.n_tokens) == (i, n)
+        assert math.isclose(r.loss_target, t, rel_tol=1e-9) and math.isclose(r.loss_background, b, rel_tol=1e-9)
+        assert math.isclose(r.score, t - b, rel_tol=1e-6, abs_tol=1e-9)
     assert lm_score.score_documents(empty, labels).count() == 0
 
 
+def test_lm_score_of_held_out_documents(spark):
+    """A label of its own doesn't move a document's score."""
+    folder = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    labels = spark.read.parquet(f"{folder}/labels.parquet").dropDuplicates(["doc_id"])
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
+    both = {r.doc_id: r.score for r in lm_score.score_documents(docs, labels).collect()}
+    some = {r.doc_id: r.score for r in lm_score.score_documents(docs, labels.filter(half)).collect()}
+    good = {r.doc_id: r.held for r in labels.filter("quality = 1").select("doc_id", half.alias("held")).collect()}
+    own, out = [some[d] for d, h in good.items() if h], [some[d] for d, h in good.items() if not h]
+    assert abs(np.mean(own) - np.mean(out)) < 0.1
+    bad = [both[r.doc_id] for r in labels.filter("quality = 0").collect()]
+    assert np.mean([both[d] for d in good]) < np.mean(bad)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p><article>";</script></head><body class="no-sidebar">
 <header><h1>Site</h1></header><nav><ul><li><a href="/a">A</a></li></ul></nav><div class="cookie-notice">We use cookies</div><!-- <p>c</p> -->
 <article class="post"><h1>Head &amp; line</h1><p><b>First   par.<br>next<p>Second &eacute; &#8212; <i>in</i>line</p><div class="ad">Buy</div><ul><li>one<li>two</ul>
@@ -367,6 +491,44 @@ def test_extract_keeps_what_holds_the_text():
     assert html_extract.extract(f'<article>{story}<section id="comments">{story * 3}</section></article>') == want
 
 
+def test_extract_keeps_headings_named_by_their_words():
+    page = '<article><h2 id="related-work">Related work</h2><p>One.</p><h2 id="search">Search</h2><p class="legal-theory">Two.</p><p id="comments-on">Three.</p><p class="ad">Buy</p></article>'
+    assert html_extract.extract(page) == "Related work\nOne.\nSearch\nTwo.\nThree."
+
+
+def plain_templates(rows, min_pages=html_extract.MIN_PAGES, min_share=html_extract.MIN_SHARE):
+    """Keys of template parts by counting in dictionaries."""
+    seen, pages = defaultdict(set), defaultdict(set)
+    for url, page in rows:
+        if page:
+            host, root = html_extract.host_of(url), html_extract.parse(page)
+            digest = html_extract.xxhash.xxh3_64_intdigest(page) - 2**63
+            pages[host].add(digest)
+            for _, h, container, at in html_extract._parts(root, html_extract._content(root), digest):
+                seen[host, h, container].add(at)
+    return {html_extract._key(host, h, c) for (host, h, c), at in seen.items() if len(at) >= min_pages and (c or len(at) >= min_share * len(pages[host]))}
+
+
+@pytest.mark.parametrize("folder", ["sf0.001", "sf0.01"])
+def test_templates_against_plain_counts(spark, folder):
+    pages = spark.read.parquet(f"/root/testdata/{folder}/pages.parquet")
+    rows = [(r.url, r.html) for r in pages.collect()]
+    want = plain_templates(rows)
+    assert {r.key for r in html_extract.template_keys(pages.select("page_id", "url", "html")).collect()} == want
+    got = Counter((r.page_id, r.text) for r in html_extract.extract_pages(pages).collect())
+    assert got == Counter((r.page_id, html_extract.extract(r.html, html_extract.host_of(r.url), want)) for r in pages.collect())
+
+
+def test_templates_change_pages_with_articles(spark):
+    """What recurs in the articles of a host goes by the counts alone: without them it stays."""
+    box = "<div class=letter>Get our letter<p>It comes each week</p></div>"
+    rows = [(i, "http://a.example/", f"<article><h1>Head {i}</h1><p>Story {i} of {i * i} words</p>{box}</article>") for i in range(20)] * 2
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = Counter((r.page_id, r.text) for r in html_extract.extract_pages(pages).collect())
+    assert got == Counter({(i, f"Head {i}\nStory {i} of {i * i} words"): 2 for i in range(20)})  # repeated rows stay rows
+    assert html_extract.extract(rows[0][2]) == "Head 0\nStory 0 of 0 words\nGet our letter\nIt comes each week"
+
+
 def test_extract_main_beside_teasers():
     text = "<div><p>" + "The main text of the page. " * 8 + "</p></div>"
     want = ("The main text of the page. " * 8).strip()
@@ -478,6 +640,44 @@ def test_jaccard_join_of_unequal_sizes(spark):
         jaccard_join.runs_for(0.999, 0.01, 64, 1.5, 0)
 
 
+def test_jaccard_join_of_a_crowd(spark):
+    """A group of near copies that fills several blocks, beside exact copies and common lines: links are those of brute force."""
+    rng, words = random.Random(4), [f"w{i}" for i in range(120)]
+    texts = [" ".join(words)] * 5
+    for _ in range(150):
+        copy = list(words)
+        for _ in range(rng.randrange(7)):
+            copy[rng.randrange(120)] = f"new{rng.randrange(10**6)}"
+        texts.append(" ".join(copy))
+    texts += [" ".join(["common", "line", "of", "all", "texts", "here", *(f"x{rng.randrange(10**6)}" for _ in range(20))]) for _ in range(60)]
+    pairs = jaccard_join.links_plainly(texts)
+    links, roots = Counter(x for p in pairs for x in p), groups_of(pairs, len(texts))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for small in ({"limit": 8, "block": 16}, {"limit": 8, "block": 16, "depth": 1}, {"block_grams": 3000}):
+        got = {r.doc_id: r for r in jaccard_join.jaccard_join(frame, **small).collect()}
+        assert [got[i].n_links for i in range(len(texts))] == [links[i] for i in range(len(texts))]
+        assert [got[i].class_id for i in range(len(texts))] == roots
+
+
+def test_overlaps(monkeypatch):
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(0, 40)).astype(np.uint64)) for _ in range(30)]
+    for dense in (2, 6, 100):
+        monkeypatch.setattr(jaccard_join, "DENSE", dense)
+        both = jaccard_join.overlaps(sets, None)
+        assert all(both[i, j] == np.intersect1d(sets[i], sets[j]).size for i in range(30) for j in range(i + 1, 30))
+        cross = jaccard_join.overlaps(sets[:10], sets[10:])
+        assert all(cross[i, j] == np.intersect1d(sets[i], sets[10 + j]).size for i in range(10) for j in range(20))
+
+
+@pytest.mark.parametrize("similarity", [0.4, 0.6, 0.9])
+def test_jaccard_join_at_other_similarities(spark, similarity):
+    texts = near_copies(9, 25, 40)
+    want = jaccard_join.links_plainly(texts, similarity=similarity)
+    got = jaccard_join.jaccard_join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), similarity=similarity).collect()
+    assert 0.98 * 2 * len(want) <= sum(r.n_links for r in got) <= 2 * len(want)
+
+
 def test_jaccard_join_odd_rows(spark, odd, empty):
     got = jaccard_join.jaccard_join(odd).collect()
     assert len(got) == odd.count()

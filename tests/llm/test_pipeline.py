@@ -45,6 +45,25 @@ def test_stages_keep_columns_and_odd_rows(spark, sf):
     assert kept == [(0, ""), (0, ""), (1, "a"), (2, ""), (3, "w " * 30000)]
 
 
+def test_last_stage_and_whole_runs_on_odd_tables(spark, sf, tmp_path):
+    """Empty documents and odd ones go through run() as a whole."""
+    shape = spark.read.parquet(f"{sf}/documents.parquet")
+    odd = spark.createDataFrame([(1, "a"), (1, "a"), (None, None), (2, ""), (3, "w " * 30000)], "doc_id long, text string").withColumns({c: F.lit(None).cast(t) for c, t in shape.dtypes if c not in ("doc_id", "text")}).select(shape.columns)
+    for name, docs in (("empty", shape.limit(0)), ("odd", odd)):
+        folder = tmp_path / name
+        docs.write.parquet(f"{folder}/documents.parquet")
+        spark.read.parquet(f"{sf}/labels.parquet").limit(0).write.parquet(f"{folder}/labels.parquet")
+        spark.read.parquet(f"{sf}/benchmark.parquet").write.parquet(f"{folder}/benchmark.parquet")
+        got = corpus_pipeline.run(spark, str(folder)).collect()
+        assert sorted((r.doc_id or 0, r.n_tokens > 0) for r in got) == ([] if name == "empty" else [(0, False), (1, True), (2, False), (3, True)])
+        assert all(len(r.ids) == r.n_tokens for r in got)
+
+
+def test_repeated_rows_leave_a_defined_one(spark, sf):
+    docs = spark.createDataFrame([(1, "same text", "b"), (1, "same text", "a"), (1, "same text", "c")], "doc_id long, text string, lang string")
+    assert [r.lang for r in corpus_pipeline.near_duplicates(spark, docs, sf).collect()] == ["a"]
+
+
 def test_registered():
     names = list(__spark_entry__.queries())
     assert "pipeline" in names and {n.split("_")[0] for n in names} >= {f"op{i}" for i in range(1, 11)}
