@@ -115,20 +115,36 @@ def input_hash(console: Console) -> str:
     return X.fnv1a64("".join(said).encode())
 
 
-def evidence_lines(console: Console) -> DataFrame:
+class Held:
+    """What the files of one export share, each calculated once: the scenes of both views, density runs checked by each other, and the evidence."""
+
+    def __init__(self, console: Console):
+        self.console = console
+        self.scenes = {view: console.scene(view) for view in ("geo", "feature")}
+        self.scans, self.runs = {}, {}
+        for view, frames in self.scenes.items():
+            engine.validate(frames)
+            labels = engine.calculate("dbscan", frames)[1]
+            self.scans[view] = engine.Run("dbscan", frames, frames.params, labels)
+            self.runs[view] = engine.execute("indexed_dbscan", frames, validated=True, twin=self.scans[view])
+        self.rows = cut(console.evidence())
+
+
+def evidence_lines(console: Console, found: DataFrame | None = None) -> DataFrame:
     """view, id, line: each observation with its sources as JSON, for views of any size (write.text makes files of them)."""
-    found = console.evidence()
+    found = console.evidence() if found is None else found
     return found.select("view", "id", F.to_json(F.struct(*(c for c in found.columns if c != "view"))).alias("line"))
 
 
-def evidence_json(console: Console, revision: str = "local", schema: str = SCHEMA) -> str:
+def evidence_json(console: Console, revision: str = "local", schema: str = SCHEMA, held: Held | None = None) -> str:
     """The evidence of both views as one document."""
+    held = held or Held(console)
     s, j = console.settings, X.json_text
     told = {"start_utc": s.start, "end_utc": s.end, "user": j(s.user), "device": j(s.device), "origin_lat": _double(s.lat0), "origin_lon": _double(s.lon0), "request_scale": _double(s.request_scale), "failure_scale": _double(s.failure_scale), "feature_radius": _double(s.feature_radius), "geo_radius_m": _double(s.geo_radius), "min_pts": s.min_pts}
-    lines = cut(evidence_lines(console))
+    lines = evidence_lines(console, held.rows)
     views = []
     for view, units in (("geo", "metres"), ("feature", "scaled requests/failures per minute")):
-        check = engine.execute("indexed_dbscan", console.scene(view)).answers.first()["check"]
+        check = held.runs[view].answers.first()["check"]
         rows = ",".join(r.line for r in _rows(lines.filter(F.col("view") == view), "id", MAX_EVENTS))
         views.append(f'{{"units":{j(units)},"algorithm":"Indexed DBSCAN","check":{j(check)},"observations":[{rows}]}}')
     head = f'"schema":{j(schema)},"source_revision":{j(revision)},"input_hash":{j(input_hash(console))},"hash_scope":"canonical source records, consistency only; unsigned"'
@@ -146,8 +162,9 @@ def _scene(frames: engine.Frames) -> Scene:
     )
 
 
-def evidence_text(console: Console) -> str:
+def evidence_text(console: Console, held: Held | None = None) -> str:
     """Settings, evaluation and, for both views, checks, queries, points and the events behind them."""
+    held = held or Held(console)
     s = console.settings
     out = [
         "SPATIAL SECURITY EVIDENCE",
@@ -161,21 +178,20 @@ def evidence_text(console: Console) -> str:
         console.evaluation_text().rstrip("\n"),
     ]
     events = {e.event_id: e for e in _rows(console.events, "idx", MAX_EVENTS)}
-    rows = cut(console.evidence())
-    kinds = cut(console.evidence_rows().select("view", "id", "kind").distinct())
+    rows = held.rows
     for view, title in (("geo", "GEOGRAPHIC (metres)"), ("feature", "FEATURE (scaled rates)")):
-        frames = console.scene(view)
-        scan, indexed, nearest, nearby = (engine.execute(m, frames) for m in ("dbscan", "indexed_dbscan", "nearest", "radius"))
-        agree = engine.compare(scan.labels, indexed.labels, ["scene", "id"]).first().agree
+        frames, indexed = held.scenes[view], held.runs[view]
+        nearest, nearby = (engine.execute(m, frames, validated=True) for m in ("nearest", "radius"))
+        agree = engine.compare(held.scans[view].labels, indexed.labels, ["scene", "id"]).first().agree
         near, within = nearest.answers.first(), nearby.answers.first()
         query = s.feature_query if view == "feature" else s.geo_query
         n = frames.points.count()
         out += ["", f"VIEW {title}", indexed.answers.first()["check"], f"Baseline/indexed labels agree={int(agree)}", f"Scan distance tests={n * n}"]
         out += [f"Query x={_double(query[0])} y={_double(query[1])} nearest distance={X.format_number(near.value, 12)} nearest IDs:" + "".join(f" {i}" for i in near.answer), "Radius matches:" + "".join(f" {i}" for i in within.answer), near["check"], within["check"]]
         if view == "geo" and console.fence:
-            out.append(f"Query permitted-region classification={int(engine.execute('geofence', frames).answers.first().value)}")
+            out.append(f"Query permitted-region classification={int(engine.execute('geofence', frames, validated=True).answers.first().value)}")
             places = {r.id: r.cls for r in engine.run("geofence", frames.points, frames.polygon).limit(MAX_EVENTS).collect()}
-        kind = {r.id: r.kind for r in kinds.filter(F.col("view") == view).collect()}
+        kind = {r.id: r.kind for r in _rows(indexed.labels, "id", MAX_EVENTS)}
         for o in _rows(rows.filter(F.col("view") == view), "id", MAX_EVENTS):
             at = f" geofence={places[o.id]}" if view == "geo" and console.fence else ""
             out.append(f"Point {o.id} {o.name} x={_double(o.x)} y={_double(o.y)} cluster={o.cluster} kind={kind[o.id]}{at}")
@@ -187,9 +203,9 @@ def evidence_text(console: Console) -> str:
 
 def export_evidence(console: Console, path: str, revision: str = "local", files: Publisher | None = None) -> None:
     """path, path.json, path.security, path.geo.scene, path.feature.scene and path.sensitivity.txt, all or none."""
-    console.checked()
-    texts = {"": evidence_text(console), ".json": evidence_json(console, revision), ".security": dump_snapshot(console), ".sensitivity.txt": console.sensitivity_text()}
-    texts |= {f".{view}.scene": dump(_scene(console.scene(view))) for view in ("geo", "feature")}
+    snapshot, held = dump_snapshot(console), Held(console)  # the snapshot checks all rules first
+    texts = {"": evidence_text(console, held), ".json": evidence_json(console, revision, held=held), ".security": snapshot, ".sensitivity.txt": console.sensitivity_text()}
+    texts |= {f".{view}.scene": dump(_scene(frames)) for view, frames in held.scenes.items()}
     own = files or Publisher()
     for suffix, text in texts.items():
         with open(own.stage(path + suffix), "w", encoding="utf-8", newline="") as out:
