@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -54,6 +55,12 @@ def forget(*tables: DataFrame) -> None:
         place.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Has the driver drop plans that nothing holds any more, upon which Spark deletes their shuffle files; left alone, it may keep them to the end."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def map_slices(frame: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str | T.StructType, size: int = SLICE) -> DataFrame:
     """mapInArrow over slices of `size` rows. `make` is called once a task and returns the function of one slice."""
 

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import forget, map_slices, text_frame, written
+from .common import forget, map_slices, release, text_frame, written
 from .decontaminate import words_of
 
 COORDS = 64
@@ -280,7 +280,9 @@ def candidate_components(classes: DataFrame, runs: int, coords: int, fan: float,
         stay = _merged(marked.filter(F.col("state") != LIKE), apart, "path", "left_semi").select("path", "h")
         stay = _merged(stay, classes.select("h", "n_grams", "short", "tokens"), "h").select("path", "h", "n_grams", "short", "tokens")
         members = map_slices(stay, lambda split=level < depth: part(split), shape, 4096)
+        release(classes.sparkSession)
     found.append(_grouped(reduce(DataFrame.unionByName, leaves), "path", compare, "a long, b long"))
+    release(classes.sparkSession)
     out = components(reduce(DataFrame.unionByName, found))
     forget(*used)
     return out
@@ -314,15 +316,19 @@ def jaccard_join(docs: DataFrame, n: int = 5, similarity: float = 0.8, recall: f
     if not 0 < coords < 256:
         raise ValueError("coords must be 1 to 255")
     docs = text_frame(docs, id_col, text_col)
-    rows = written(sketches(docs, n, coords, seed))
+    sketched = written(sketches(docs, n, coords, seed))
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tx")
     same = [F.any_value(c).alias(c) for c in ("n_grams", "tokens", "short")]  # equal in all of a class
-    held = written(rows.filter("h IS NOT NULL").groupBy("h").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("copies"), *same))
-    classes = held.select("h", "first", "copies", "n_grams")
+    held = written(sketched.filter("h IS NOT NULL").groupBy("h").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("copies"), *same))
+    rows = written(sketched.select("doc_id", "tx", "n_grams", "h"))
+    forget(sketched)  # sketches are 320 bytes a document; only candidates need them
     runs = runs_for(recall, similarity, coords, fan, seed)
     spread = max(0.05, 6 * (similarity * (1 - similarity) / coords) ** 0.5)
     alike = max(1, int(coords * (similarity - spread)))
     near = candidate_components(held, runs, coords, fan, limit, depth, alike, seed, similarity)
+    classes = written(held.select("h", "first", "copies", "n_grams"))
+    forget(held)
+    release(docs.sparkSession)
     found = written(_links(docs, _merged(near.withColumnRenamed("node", "h"), classes, "h"), n, similarity, block, block_grams))
     links = found.groupBy("h").agg(F.sum("links").alias("links"), F.min("root").alias("root"))
     classes = _merged(classes, links, "h", "left")
@@ -399,6 +405,8 @@ def _links(docs: DataFrame, near: DataFrame, n: int, similarity: float, block: i
         return each
 
     looked = written(_grouped(texts, "tile", look, "h long, links long, root long, comp long, copies long, size long, inner boolean, apart binary"))
+    del texts
+    release(docs.sparkSession)  # the texts that were shuffled
     links = looked.filter("links IS NOT NULL").select("h", "links", "root", F.lit(False).alias("parted"))
     if sizes.isEmpty():
         return links

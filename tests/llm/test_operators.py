@@ -685,3 +685,29 @@ def test_jaccard_join_odd_rows(spark, odd, empty):
     assert [(r.class_id, r.is_first) for r in got if r.doc_id is None] == [(None, True)]
     assert all(r.n_links == 0 and r.class_id == r.doc_id for r in got if r.doc_id in (0, 1, 2, 3))
     assert jaccard_join.jaccard_join(empty).count() == 0
+
+
+def test_sketches_go_before_texts_are_read(spark, tmp_path, monkeypatch):
+    """When candidates are known, no table of sketches is left in the shared folder, and results are those of all pairs."""
+    import pyarrow.parquet as pq
+
+    from quadrille.llm import jaccard_join as jj
+
+    seen, links, written = [], jj._links, jj.written
+    places = []
+    monkeypatch.setattr(jj, "written", lambda frame: (places.append((out := written(frame)).stored_at), out)[1])
+
+    def watched(*args):
+        import pathlib
+
+        folders = [pathlib.Path(p.removeprefix("file:")) for p in places]
+        seen.extend(pq.read_schema(f).names for d in folders if d.exists() for f in d.glob("*.parquet"))
+        return links(*args)
+
+    monkeypatch.setattr(jj, "_links", watched)
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(words), " ".join([*words, "more"]), " ".join(words[::-1]), None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jj.jaccard_join(docs).collect()}
+    assert got == {0: (0, 1), 1: (0, 1), 2: (2, 0), 3: (3, 0)}
+    assert seen and not any("tokens" in names or "short" in names for names in seen)
